@@ -1,0 +1,22 @@
+"""Input splits for small inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The planner's size estimate of ``df``; no job is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input too small to fill one scan task per core.
+
+    A single small Parquet file is one row group, hence one task. An input
+    large enough to occupy the cluster is left exactly as its scan splits it.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(2 * cores) if plan_bytes(df) < cores * split else df
