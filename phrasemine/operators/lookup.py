@@ -54,7 +54,10 @@ def attach(
         return condition
 
     hot = side(frequent(table, weight), "hot", [F.lit(True).alias("__hot")])
-    cold = side(table, "cold", [F.lit(True).alias("__cold"), F.lit(0).alias("__none")])
+    # Always 0, but not a literal: a literal would be folded out of the join keys
+    # and the salt with it.
+    no_salt = F.least(F.col(weight), F.lit(0)).cast("int").alias("__none")
+    cold = side(table, "cold", [F.lit(True).alias("__cold"), no_salt])
     salt = F.pmod(F.xxhash64(*facts.columns), F.lit(SPREAD)).cast("int") + 1
     joined = (
         facts.join(F.broadcast(hot), matches("hot"), "left")

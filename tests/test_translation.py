@@ -1,0 +1,111 @@
+import random
+
+import pytest
+
+from phrasemine.operators import translation
+from phrasemine.plans.mining import candidate_scores, mine_chunks, mine_translations
+from tests import brute
+from tests.test_scoring import M1
+
+PAIRS = ["p q r s|a b c", "p q r|a b", "p x q|c a b", "zz yy|qa bc"]
+
+
+def listed(df):
+    rows = sorted(df.collect(), key=lambda r: (r.text, r.type, r.rank))
+    return [(r.text, r.type, r.rank, f"{r.dst_text}@{r.dst_type}", round(r.score, 6)) for r in rows]
+
+
+@pytest.mark.parametrize(
+    "match,fourth,fifth", [("substring", "zz yy@200", "x q@200"), ("token", "x q@200", "r s@200")]
+)
+def test_small_corpus(make_lines, make_pairs, match, fourth, fifth):
+    best = mine_translations(mine_chunks(make_lines(*M1)), make_pairs(*PAIRS), match=match)
+    assert listed(best) == [
+        ("a b", 200, 1, "q r@200", 1.333333),
+        ("a b", 200, 2, "p r@210", 1.333333),
+        ("a b", 200, 3, "p q@200", 1.333333),
+        ("a b", 200, 4, fourth, 0.444444),
+        ("a b", 200, 5, fifth, 0.444444),
+    ]
+    assert {round(r.chunk_chi2, 6) for r in best.collect()} == {0.444444}
+
+
+def test_weakest_are_the_other_end(make_lines, make_pairs):
+    weakest = mine_translations(
+        mine_chunks(make_lines(*M1)), make_pairs(*PAIRS), weakest=True, top_k=translation.WEAKEST_K
+    )
+    ranked = brute.candidates([("a b", 200)], [tuple(p.split("|")) for p in PAIRS])["a b", 200]
+    assert [row[3] for row in listed(weakest)] == [key for _, key in ranked[::-1][:3]]
+
+
+def test_ties_go_by_the_whole_key(make_lines, make_pairs):
+    """``x y`` sorts before ``x y!`` as a text, after it as a key."""
+    pairs = make_pairs("x y! q|a b", "x y z|a b")
+    kept = mine_chunks(make_lines(*M1))
+    best = mine_translations(kept, pairs, top_k=9, candidates_over=2)
+    keys = [row[3] for row in listed(best) if row[:2] == ("a b", 200)]
+    assert keys == sorted(keys, reverse=True)
+    assert keys.index("x y@200") < keys.index("x y!@200")
+
+
+SOURCE_WORDS = [*"abcdefghijklmnop", "ab", "bc"]
+
+
+def random_lines(rng, words, n):
+    return [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 8))) for _ in range(n)]
+
+
+def random_corpus(seed, n=80):
+    return random_lines(random.Random(seed), SOURCE_WORDS, n)
+
+
+def random_pairs(seed, n=60):
+    rng = random.Random(seed)
+    pairs = list(zip(random_lines(rng, ["u", "v", "w", "x!", "é"], n), random_lines(rng, SOURCE_WORDS, n)))
+    return pairs + pairs[:1] * (n // 2) + [("u v", "")]
+
+
+@pytest.mark.parametrize("match", ["substring", "token"])
+@pytest.mark.parametrize("limits,block", [((2, 1), 4096), ((2, 1), 2), ((4, 2), 4096), ((3, 1), 3)])
+def test_random_pairs(spark, make_lines, monkeypatch, limits, block, match):
+    """A third of the lines are copies; small blocks cut every line into a grid."""
+    monkeypatch.setattr(translation, "BLOCK", block)
+    pairs = random_pairs(7)
+    kept = mine_chunks(make_lines(*random_corpus(8)), *limits)
+    chunks = [(r.text, r.type) for r in kept.collect()]
+    ranked = brute.candidates(chunks, pairs, *limits, match)
+    frame = spark.createDataFrame(pairs, "dst string, src string")
+    found = {}
+    for text, code, rank, key, score in listed(mine_translations(kept, frame, *limits, match)):
+        found.setdefault((text, code), []).append((score, key))
+    expected = {c: found_[:5] for c, found_ in ranked.items() if len(found_) > 5}
+    assert set(found) == set(expected) and expected
+    for chunk, best in expected.items():
+        assert [key for _, key in found[chunk]] == [key for _, key in best]
+        assert [s for s, _ in found[chunk]] == pytest.approx([s for s, _ in best], abs=1e-6)
+
+
+def test_full_ranking_over_many_ranges(spark, make_lines):
+    pairs = random_pairs(11)
+    kept = mine_chunks(make_lines(*random_corpus(12)))
+    ranked = brute.candidates([(r.text, r.type) for r in kept.collect()], pairs)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        scored, bitext = candidate_scores(kept, spark.createDataFrame(pairs, "dst string, src string"))
+        order = translation.name_chunks(translation.rank_candidates(scored), bitext)
+        found = {}
+        for text, code, _, key, _ in listed(order):
+            found.setdefault((text, code), []).append(key)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert found == {chunk: [key for _, key in best] for chunk, best in ranked.items()}
+
+
+def test_negative_cells_are_not_clamped(spark, make_lines):
+    """A chunk met only inside words has no source count: every score is the fixed value."""
+    kept = mine_chunks(make_lines(*M1)).filter("text = 'a b' and type = 200")
+    pairs = spark.createDataFrame([("p q r s", "qa bc")], "dst string, src string")
+    scored, _ = candidate_scores(kept, pairs)
+    rows = scored.collect()
+    assert len(rows) == 5
+    assert {(r.n11, r.n10, r.n01, r.n00, r.score) for r in rows} == {(1, -1, 0, 1, 20.0)}
