@@ -55,7 +55,7 @@ def mine_groups(
 ) -> DataFrame:
     """Groups of chunks with the same words whose pooled score is below the threshold."""
     counts = stage_counts(count_chunks(lines, max_words, max_gap)) if counts is None else counts
-    scored = groups.group_scores(counts, size_column(lines), max_words, degenerate)
+    scored = groups.group_scores(counts, size_column(lines), max_words, max_gap, degenerate)
     return groups.keep_groups(scored, threshold)
 
 

@@ -137,7 +137,7 @@ def group_scores(spark: SparkSession, folder: str) -> DataFrame:
 def group_scores_full(spark: SparkSession, folder: str) -> DataFrame:
     lines = conversation_lines(spark, folder)
     counts = chunk_ops.stage_counts(chunk_ops.count_chunks(lines, MAX_WORDS, MAX_GAP))
-    return _group_rows(groups.group_scores(counts, size_column(lines), MAX_WORDS))
+    return _group_rows(groups.group_scores(counts, size_column(lines), MAX_WORDS, MAX_GAP))
 
 
 def filtered_groups(spark: SparkSession, folder: str) -> DataFrame:
