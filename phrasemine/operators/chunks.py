@@ -55,12 +55,21 @@ def extract_chunks(lines: DataFrame, max_words: int = 2, max_gap: int = 1) -> Da
     return emit_chunks(lines, all_shapes(max_words, max_gap))
 
 
-def count_shapes(lines: DataFrame, shapes: Sequence[Shape], words: Column | None = None) -> DataFrame:
-    """Occurrences of the given shapes; counts are combined before the shuffle."""
+def count_shapes(
+    lines: DataFrame,
+    shapes: Sequence[Shape],
+    words: Column | None = None,
+    copies: str | None = None,
+) -> DataFrame:
+    """Occurrences of the given shapes; counts are combined before the shuffle.
+
+    ``copies`` names a column that says how many times each line stands for.
+    """
+    occurrence = F.count(F.lit(1)) if copies is None else F.sum(copies)
     return (
-        emit_chunks(spread_small_input(lines), shapes, words)
+        emit_chunks(spread_small_input(lines), shapes, words, [copies] if copies else [])
         .groupBy("text", "type")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(occurrence.alias("n"))
     )
 
 

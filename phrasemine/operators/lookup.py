@@ -33,8 +33,9 @@ def attach(
     ``on`` maps columns of facts to columns of the table; ``take`` maps columns
     of the table to their new names. ``weight`` is a column of the table that
     bounds, up to a constant, how many facts carry the row's key, such as the
-    number of occurrences behind it. The table is read three times, so it should
-    be a staged one unless it is cheap to make.
+    number of occurrences behind it; rows with the same key must have the same
+    weight. The table is read three times, so it should be a staged one unless it
+    is cheap to make.
 
     Facts with a frequent key find their row in a broadcast of those keys, and
     go on under a random-looking salt that nothing matches, evenly over all

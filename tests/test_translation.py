@@ -65,8 +65,15 @@ def random_pairs(seed, n=60):
     return pairs + pairs[:1] * (n // 2) + [("u v", "")]
 
 
-@pytest.mark.parametrize("match", ["substring", "token"])
-@pytest.mark.parametrize("limits,block", [((2, 1), 4096), ((2, 1), 2), ((4, 2), 4096), ((3, 1), 3)])
+@pytest.mark.parametrize(
+    "limits,block,match",
+    [
+        ((2, 1), 2, "substring"),
+        ((2, 1), 4096, "token"),
+        ((4, 2), 4096, "substring"),
+        ((3, 1), 3, "token"),
+    ],
+)
 def test_random_pairs(spark, make_lines, monkeypatch, limits, block, match):
     """A third of the lines are copies; small blocks cut every line into a grid."""
     monkeypatch.setattr(translation, "BLOCK", block)
