@@ -7,24 +7,35 @@ planner can trust, and is read with column pruning and filter pushdown.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+@cache
+def local_root() -> str:
+    """A folder for a local master whose session names none, removed when the driver ends."""
+    folder = tempfile.mkdtemp(prefix="phrasemine-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; on a local master one is made if none is set."""
+    """The session's shared checkpoint folder, which must be set unless driver and tasks are one process."""
     configured = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="phrasemine-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return local_root()
 
 
 def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
