@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from phrasemine.llm.mixing import OP10_SQL, op10_mixing
+from phrasemine.llm.ngram_join import op2_ngram_join
 from phrasemine.llm.quality_cnn import op4_quality
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op4_quality": op4_quality,
     "op10_mixing": op10_mixing,
 }

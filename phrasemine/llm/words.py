@@ -8,7 +8,6 @@ or by the longest document, whichever is larger.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +48,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@lru_cache(2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of an odd number and of its inverse, modulo 2**64."""
     base = 0x9E3779B97F4A7C15
@@ -61,7 +59,6 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return pair[0], pair[1]
 
 
-@lru_cache(1)
 def byte_values() -> np.ndarray:
     """A 64-bit value for each byte; a capital letter has its small letter's."""
     values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -69,7 +66,6 @@ def byte_values() -> np.ndarray:
     return values
 
 
-@lru_cache(1)
 def is_space() -> np.ndarray:
     space = np.zeros(256, bool)
     space[[32, 9, 10, 11, 12, 13]] = True
@@ -93,7 +89,7 @@ def slice_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Hash of each word, and which words each row has (like ``at``)."""
     n = len(data)
     starts, ends = spans(data, at)
-    up, down = powers(1 << max(20, n.bit_length()))
+    up, down = powers(max(1, n))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(byte_values()[data] * up[:n], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
