@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from phrasemine.llm.decontaminate import op7_decontamination
 from phrasemine.llm.mixing import OP10_SQL, op10_mixing
 from phrasemine.llm.ngram_join import op2_ngram_join
 from phrasemine.llm.quality_cnn import op4_quality
@@ -9,6 +10,7 @@ from phrasemine.llm.quality_cnn import op4_quality
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op4_quality": op4_quality,
+    "op7_decontamination": op7_decontamination,
     "op10_mixing": op10_mixing,
 }
 
