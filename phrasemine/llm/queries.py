@@ -6,11 +6,13 @@ from phrasemine.llm.decontaminate import op7_decontamination
 from phrasemine.llm.mixing import OP10_SQL, op10_mixing
 from phrasemine.llm.ngram_join import op2_ngram_join
 from phrasemine.llm.quality_cnn import op4_quality
+from phrasemine.llm.suffix_dedup import op9_suffix_dedup
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op4_quality": op4_quality,
     "op7_decontamination": op7_decontamination,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
 }
 
