@@ -35,7 +35,7 @@ class Training:
     documents: int = 4000
     chars: int = 16384
     halves: int = 16
-    epochs: int = 10
+    steps: int = 640
     batch: int = 64
     rate: float = 0.01
     seed: int = 5
@@ -193,21 +193,21 @@ def fit(texts: list[bytes], y: np.ndarray, how: Training) -> dict:
         pairs = np.linspace(0, halves - 2, how.halves // 2).round().astype(int)
         row[:] = full.reshape(-1, HALF)[np.stack([pairs, pairs + 1], 1).ravel()].ravel()
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
-    half_at, t = np.arange(how.batch + 1) * how.halves, 0
-    total = how.epochs * max(1, len(rows) // how.batch)
-    for _ in range(how.epochs):
-        order = r.permutation(len(rows))
-        for a in range(0, max(1, len(order) - how.batch + 1), how.batch):
-            batch = order[a : a + how.batch]
-            g = gradients(model, rows[batch].ravel(), half_at[: len(batch) + 1], y[batch].astype(np.float32))
-            t += 1
-            rate = how.rate * (1 - t / (total + 1))
-            for k, v in g.items():
-                m, s = moment[k]
-                m += 0.1 * (v - m)
-                s += 0.01 * (v * v - s)
-                model[k] = model[k] - np.float32(rate) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
-                model[k] = model[k].astype(np.float32)
+    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
+    half_at = np.arange(how.batch + 1) * how.halves
+    order = np.zeros(0, int)
+    for t in range(1, how.steps + 1):
+        while len(order) < how.batch:
+            order = np.append(order, r.permutation(len(rows)))
+        batch, order = order[: how.batch], order[how.batch :]
+        g = gradients(model, rows[batch].ravel(), half_at, y[batch].astype(np.float32))
+        rate = np.float32(how.rate * (1 - t / (how.steps + 1)))
+        for k, v in g.items():
+            m, s = moment[k]
+            m += 0.1 * (v - m)
+            s += 0.01 * (v * v - s)
+            update = (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
+            model[k] = (model[k] - rate * update).astype(np.float32)
     return model
 
 
