@@ -198,9 +198,11 @@ def kept_bytes(text: bytes, spans: list[dict], length: int) -> tuple[bytes, int,
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, as_text: bool = False) -> DataFrame:
     """``docs`` with ``kept`` (the bytes that stay), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
+    With ``as_text``, ``kept`` is a string, without the characters that lost some of their bytes.
+
     Matches never cross documents, overlapping ones count, and all are judged
     on the input. Null and empty texts keep no bytes and lose none. A text that
     comes twice in any two rows loses every byte if it has at least ``length``. An id names
@@ -210,7 +212,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     rest = docs.drop("kept", "n_bytes", "n_removed", "n_spans").withColumn("__key", row_key())
     spans = repeated_spans(docs, length).withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans")
     joined = rest.join(spans, "__key", "left").drop("__key")
-    bare = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    bare = F.coalesce(F.col("text"), F.lit(""))
+    bare = bare if as_text else bare.cast("binary")
     whole = joined.filter("__spans is null").drop("__spans").select(
         "*",
         bare.alias("kept"),
@@ -221,6 +224,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             data, at = utf8(batch.column("text"))
             out = []
             for k, found in enumerate(batch.column("__spans")):
@@ -232,7 +237,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
                     out.append((text, len(text), 0, 0))
             new = pa.record_batch(
                 [
-                    pa.array([x[0] for x in out], pa.binary()),
+                    pa.array([x[0].decode(errors="ignore") if as_text else x[0] for x in out]),
                     *[pa.array([x[c] for x in out], pa.int64()) for c in (1, 2, 3)],
                 ],
                 names=["kept", "n_bytes", "n_removed", "n_spans"],
