@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from phrasemine.llm.decontaminate import op7_decontamination
+from phrasemine.llm.license_scan import op6_licenses
 from phrasemine.llm.mixing import OP10_SQL, op10_mixing
 from phrasemine.llm.ngram_join import op2_ngram_join
 from phrasemine.llm.quality_cnn import op4_quality
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_join": op2_ngram_join,
     "op4_quality": op4_quality,
+    "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
