@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from phrasemine.llm.decontaminate import op7_decontamination
 from phrasemine.llm.license_scan import op6_licenses
+from phrasemine.llm.lm_score import op8_lm_score
 from phrasemine.llm.mixing import OP10_SQL, op10_mixing
 from phrasemine.llm.ngram_join import op2_ngram_join
 from phrasemine.llm.quality_cnn import op4_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_score": op8_lm_score,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
 }
