@@ -9,12 +9,14 @@ from phrasemine.llm.mixing import OP10_SQL, op10_mixing
 from phrasemine.llm.ngram_join import op2_ngram_join
 from phrasemine.llm.quality_cnn import op4_quality
 from phrasemine.llm.suffix_dedup import op9_suffix_dedup
+from phrasemine.llm.token_counts import OP5_SQL, op5_token_counts
 from phrasemine.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_join": op2_ngram_join,
     "op4_quality": op4_quality,
+    "op5_token_counts": op5_token_counts,
     "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_lm_score": op8_lm_score,
@@ -24,5 +26,6 @@ QUERIES = {
 
 SQL = {
     "op1_url_filter": OP1_SQL,
+    "op5_token_counts": OP5_SQL,
     "op10_mixing": OP10_SQL,
 }
