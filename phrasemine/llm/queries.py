@@ -11,10 +11,12 @@ from phrasemine.llm.quality_cnn import op4_quality
 from phrasemine.llm.suffix_dedup import op9_suffix_dedup
 from phrasemine.llm.token_counts import OP5_SQL, op5_token_counts
 from phrasemine.llm.url_filter import OP1_SQL, op1_url_filter
+from phrasemine.llm.vector_dedup import op3_vector_dedup
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_join": op2_ngram_join,
+    "op3_vector_dedup": op3_vector_dedup,
     "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_licenses": op6_licenses,
