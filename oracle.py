@@ -12,15 +12,9 @@ DOCUMENT_LINES = "SELECT unnest(string_split(text, chr(10))) AS line FROM docume
 CONVERSATION_LINES = "SELECT unnest(string_split(text, chr(10))) AS line FROM conversations"
 
 PAIRS = """
-    SELECT conv_id, turn, CAST(k - 1 AS INTEGER) AS pos, asked[k] AS src, replied[k] AS dst
-    FROM (
-        SELECT u.conv_id, u.turn, string_split(u.text, chr(10)) AS asked,
-               string_split(a.text, chr(10)) AS replied,
-               unnest(range(1, least(len(string_split(u.text, chr(10))),
-                                     len(string_split(a.text, chr(10)))) + 1)) AS k
-        FROM conversations u JOIN conversations a
-          ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-        WHERE u.role = 'user' AND a.role = 'assistant')"""
+    SELECT u.conv_id, u.turn, replace(u.text, chr(10), ' ') AS src, replace(a.text, chr(10), ' ') AS dst
+    FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+    WHERE u.role = 'user' AND a.role = 'assistant'"""
 
 MIXED = f"""
     SELECT dst || '|' || src AS value FROM ({PAIRS})
@@ -72,7 +66,7 @@ def chi2(a: str = "n11", b: str = "n10", c: str = "n01", d: str = "n00") -> str:
 def cells(source: str, max_words: int = 2, max_gap: int = 1, where: str = "true") -> str:
     shapes = chunk_shapes(max_words, max_gap)
     return f"""
-    WITH counts AS ({counted(source, all_shapes(max_words, max_gap))}),
+    WITH counts AS MATERIALIZED ({counted(source, all_shapes(max_words, max_gap))}),
     cut AS (SELECT text, type, n, {halves('left', shapes)}, {halves('right', shapes)}
             FROM counts WHERE type > 0 AND {where}),
     margins AS (
@@ -101,67 +95,87 @@ def kept(*args, **kwargs) -> str:
 def groups(source: str, max_words: int = 2, max_gap: int = 1, having: str = "true") -> str:
     pooled = chi2(*[f"sum({cell})" for cell in ("n11", "n10", "n01", "n00")])
     return f"""
-    WITH scored AS ({scores(source, max_words, max_gap)}),
+    WITH scored AS MATERIALIZED ({scores(source, max_words, max_gap)}),
     pooled AS (
         SELECT text, '#' || string_agg(CAST(type AS VARCHAR), '#' ORDER BY type) AS types, {pooled} AS chi2
         FROM scored GROUP BY text HAVING count(*) > 1),
-    held AS (SELECT * FROM pooled WHERE {having})
+    held AS MATERIALIZED (SELECT * FROM pooled WHERE {having})
     SELECT s.text, 1 AS level, s.type, h.types, s.chi2 FROM scored s JOIN held h ON h.text = s.text
     UNION ALL
     SELECT text, 2 AS level, 0 AS type, types, chi2 FROM held"""
 
 
 def line_chunks(shapes: list[Shape], line: str) -> str:
-    return emitted(PAIRS, shapes, "conv_id, turn, pos", line)
+    return emitted("SELECT * FROM pairs", shapes, "conv_id, turn", line)
 
 
-def matched(chunks: str, max_words: int, max_gap: int, match: str = "substring") -> str:
+def matching(chunks: str, max_words: int, max_gap: int, match: str = "substring") -> str:
+    """Common table expressions ``pairs``, ``chunks`` and ``matched``; chunks are sought in distinct texts."""
     shapes = chunk_shapes(max_words, max_gap)
-    loose = "c.type % 100 = 0" if match == "substring" else "false"
+    loose = "type % 100 = 0" if match == "substring" else "false"
     return f"""
-    SELECT c.text, c.type, conv_id, turn, pos
-    FROM ({chunks}) c JOIN ({PAIRS}) p ON contains(p.src, c.text) WHERE {loose}
-    UNION ALL
-    SELECT DISTINCT c.text, c.type, conv_id, turn, pos
-    FROM ({chunks}) c JOIN ({line_chunks(shapes, 'src')}) e ON e.text = c.text AND e.type = c.type
-    WHERE NOT ({loose})"""
+    pairs AS MATERIALIZED ({PAIRS}),
+    chunks AS MATERIALIZED ({chunks}),
+    texts AS MATERIALIZED (SELECT DISTINCT src FROM pairs),
+    inside AS MATERIALIZED (
+        SELECT c.text, c.type, t.src FROM (SELECT * FROM chunks WHERE {loose}) c
+        JOIN texts t ON contains(t.src, c.text)),
+    matched AS MATERIALIZED (
+        SELECT text, type, conv_id, turn FROM inside JOIN pairs USING (src)
+        UNION ALL
+        SELECT DISTINCT c.text, c.type, conv_id, turn
+        FROM chunks c JOIN ({line_chunks(shapes, 'src')}) e ON e.text = c.text AND e.type = c.type
+        WHERE NOT (c.{loose}))""".replace("c.false", "false")
 
 
-def joint(match: str = "substring") -> str:
-    return f"""
-    SELECT m.text, m.type, d.text AS dst_text, d.type AS dst_type, count(*) AS n
-    FROM ({matched(kept(DOCUMENT_LINES), 2, 1, match)}) m
-    JOIN ({line_chunks(chunk_shapes(2, 1), 'dst')}) d USING (conv_id, turn, pos)
-    GROUP BY ALL"""
+def matched(chunks: str, max_words: int, max_gap: int, match: str = "substring") -> str:
+    return f"WITH {matching(chunks, max_words, max_gap, match)} SELECT text, type, conv_id, turn FROM matched"
 
 
-def candidates(match: str = "substring") -> str:
+def translations(match: str = "substring") -> str:
+    """Common table expressions up to ``scored``, one row for each chunk and candidate."""
     shapes = all_shapes(2, 1)
-    return f"""
-    WITH margins AS (
+    return f"""WITH {matching(kept(DOCUMENT_LINES), 2, 1, match)},
+    joint AS MATERIALIZED (
+        SELECT m.text, m.type, d.text AS dst_text, d.type AS dst_type, count(*) AS n
+        FROM matched m JOIN ({line_chunks(chunk_shapes(2, 1), 'dst')}) d USING (conv_id, turn)
+        GROUP BY ALL),
+    origin AS MATERIALIZED ({counted('SELECT * FROM pairs', shapes, 'src')}),
+    destination AS MATERIALIZED ({counted('SELECT * FROM pairs', shapes, 'dst')}),
+    margins AS (
         SELECT j.text, j.type, j.dst_text, j.dst_type, j.n AS n11,
                coalesce(o.n, 0) - j.n AS n10, coalesce(d.n, 0) - j.n AS n01, s.lines
-        FROM ({joint(match)}) j
-        LEFT JOIN ({counted(PAIRS, shapes, 'src')}) o ON o.text = j.text AND o.type = j.type
-        LEFT JOIN ({counted(PAIRS, shapes, 'dst')}) d ON d.text = j.dst_text AND d.type = j.dst_type
-        CROSS JOIN (SELECT count(*) AS lines FROM ({PAIRS})) s),
-    four AS (SELECT text, type, dst_text, dst_type, n11, n10, n01, lines - n10 - n01 - n11 AS n00 FROM margins)
-    SELECT *, {chi2()} AS score FROM four"""
+        FROM joint j
+        LEFT JOIN origin o ON o.text = j.text AND o.type = j.type
+        LEFT JOIN destination d ON d.text = j.dst_text AND d.type = j.dst_type
+        CROSS JOIN (SELECT count(*) AS lines FROM pairs) s),
+    four AS (SELECT text, type, dst_text, dst_type, n11, n10, n01, lines - n10 - n01 - n11 AS n00 FROM margins),
+    scored AS MATERIALIZED (SELECT *, {chi2()} AS score FROM four)"""
+
+
+def joint(match: str = "substring") -> str:
+    return f"{translations(match)} SELECT text, type, dst_text, dst_type, n FROM joint"
+
+
+def candidates(match: str = "substring") -> str:
+    return f"{translations(match)} SELECT * FROM scored"
 
 
 def ranked(order: str, match: str = "substring") -> str:
+    """Common table expressions up to ``ranked``."""
     keys = ", ".join(f"{key} {order}" for key in ("score", "dst_text || '@' || CAST(dst_type AS VARCHAR)"))
-    return f"""
-    SELECT text, type, dst_text, dst_type, score,
-           CAST(row_number() OVER (PARTITION BY text, type ORDER BY {keys}) AS INTEGER) AS rank,
-           count(*) OVER (PARTITION BY text, type) AS found
-    FROM ({candidates(match)})"""
+    return f"""{translations(match)},
+    ranked AS (
+        SELECT text, type, dst_text, dst_type, score,
+               CAST(row_number() OVER (PARTITION BY text, type ORDER BY {keys}) AS INTEGER) AS rank,
+               count(*) OVER (PARTITION BY text, type) AS found
+        FROM scored)"""
 
 
 def best(order: str, top_k: int, match: str = "substring") -> str:
-    return f"""
+    return f"""{ranked(order, match)}
     SELECT r.text, r.type, k.chi2 AS chunk_chi2, r.rank, r.dst_text, r.dst_type, r.score
-    FROM ({ranked(order, match)}) r JOIN ({kept(DOCUMENT_LINES)}) k ON k.text = r.text AND k.type = r.type
+    FROM ranked r JOIN chunks k ON k.text = r.text AND k.type = r.type
     WHERE found > 5 AND rank <= {top_k}"""
 
 
@@ -174,8 +188,6 @@ def oracle_sql() -> dict[str, str]:
     fields = "string_split(rtrim(value, '|'), '|')"
     tokens = TOKENS.format(line="line")
     full = chunk_shapes(MAX_WORDS, MAX_GAP)
-    every = f"SELECT n11, n10, n01, n00 FROM ({cells(documents)})"
-    pooled = f"""SELECT sum(n11), sum(n10), sum(n01), sum(n00) FROM ({cells(documents)}) GROUP BY text"""
     kept_full = kept(conversations, MAX_WORDS, MAX_GAP)
     return {
         "corpus_lines": documents,
@@ -197,7 +209,12 @@ def oracle_sql() -> dict[str, str]:
         "chi_square_expr": f"""SELECT n11, n10, n01, n00, {chi2()} AS chi2 FROM
             (SELECT DISTINCT CAST(n11 AS BIGINT) AS n11, CAST(n10 AS BIGINT) AS n10,
                     CAST(n01 AS BIGINT) AS n01, CAST(n00 AS BIGINT) AS n00
-             FROM ({every} UNION ALL {pooled}) t(n11, n10, n01, n00))""",
+             FROM (WITH t(n11, n10, n01, n00) AS MATERIALIZED (
+                       WITH single AS MATERIALIZED ({cells(documents)})
+                       SELECT n11, n10, n01, n00 FROM single
+                       UNION ALL SELECT sum(n11), sum(n10), sum(n01), sum(n00) FROM single GROUP BY text)
+                   SELECT * FROM t UNION ALL SELECT n11, n10, n01, -n00 FROM t
+                   UNION ALL SELECT 0, n10, n01, n00 FROM t))""",
         "chunk_scores": f"SELECT text, type, chi2 FROM ({scores(documents)})",
         "chunk_scores_full": scores(conversations, MAX_WORDS, MAX_GAP),
         "filtered_chunks": kept(documents),
@@ -216,9 +233,12 @@ def oracle_sql() -> dict[str, str]:
         "chunk_line_matches": matched(kept(documents), 2, 1),
         "joint_counts": joint(),
         "translation_scores": candidates(),
-        "ranked_translations": f"SELECT text, type, rank, dst_text, dst_type, score FROM ({ranked('DESC')})",
+        "ranked_translations": f"{ranked('DESC')} SELECT text, type, rank, dst_text, dst_type, score FROM ranked",
         "top_translations": best("DESC", 5),
         "top_translations_token": best("DESC", 5, "token"),
         "weakest_translations": best("ASC", 3),
         "parsed_chunks": f"SELECT text, type, chi2 FROM ({kept(documents)})",
+        "parsed_groups": f"""SELECT text, level, CASE level WHEN 1 THEN CAST(type AS VARCHAR) ELSE types END AS member, chi2
+            FROM ({groups(documents, having="chi2 < 6.63")})""",
+        "parsed_translations": best("DESC", 5),
     }

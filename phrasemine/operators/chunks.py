@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemine.functions.text import tokenize
-from phrasemine.plans.spread import spread_small_input
 from phrasemine.plans.stage import stage
 from phrasemine.shapes import UNIGRAM, Shape, all_shapes
 
+# Type of the rows that count lines; chunk types are not negative.
+LINES = -1
+
 
 def emit_chunks(
     lines: DataFrame,
     shapes: Sequence[Shape],
     words: Column | None = None,
     keep: Sequence[str] = (),
+    mark_lines: bool = False,
 ) -> DataFrame:
     """One row ``(keep..., text, type)`` per occurrence of every shape in every line.
 
@@ -29,6 +32,9 @@ def emit_chunks(
     a row holding its whole window, and the second picks the tokens of each
     shape from that window. Shifts run out into nulls at the end of the line,
     which null the chunk text. All of it stays in generated code.
+
+    With ``mark_lines`` each line, blank ones too, adds one row of type ``LINES``
+    with an empty text, so that one pass counts chunks and lines.
     """
     span = max(shape.span for shape in shapes)
     window = [f"__w{k}" for k in range(span)]
@@ -38,7 +44,13 @@ def emit_chunks(
     shifted = [F.col("__words")] + [
         F.slice("__words", k + 1, F.size("__words")) for k in range(1, span)
     ]
-    positions = arrays.select(*keep, F.inline(F.arrays_zip(*shifted)).alias(*window))
+    if mark_lines:
+        # True at the first position; a line without any still gives a row, of nulls.
+        size = F.greatest(F.size("__words"), F.lit(1)) - 1
+        shifted.append(F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), size)))
+        positions = arrays.select(*keep, F.inline_outer(F.arrays_zip(*shifted)).alias(*window, "__first"))
+    else:
+        positions = arrays.select(*keep, F.inline(F.arrays_zip(*shifted)).alias(*window))
 
     def chunk(shape: Shape) -> Column:
         parts: list[Column] = []
@@ -46,7 +58,11 @@ def emit_chunks(
             parts += [F.lit(" "), F.col(window[offset])]
         return F.struct(F.concat(*parts[1:]).alias("text"), F.lit(shape.code).alias("type"))
 
-    chunks = positions.select(*keep, F.inline(F.array(*map(chunk, shapes))).alias("text", "type"))
+    rows = [chunk(shape) for shape in shapes]
+    if mark_lines:
+        mark = F.when(F.coalesce("__first", F.lit(True)), F.lit(""))
+        rows.append(F.struct(mark.alias("text"), F.lit(LINES).alias("type")))
+    chunks = positions.select(*keep, F.inline(F.array(*rows)).alias("text", "type"))
     return chunks.filter(F.col("text").isNotNull())
 
 
@@ -60,6 +76,7 @@ def count_shapes(
     shapes: Sequence[Shape],
     words: Column | None = None,
     copies: str | None = None,
+    mark_lines: bool = False,
 ) -> DataFrame:
     """Occurrences of the given shapes; counts are combined before the shuffle.
 
@@ -67,7 +84,7 @@ def count_shapes(
     """
     occurrence = F.count(F.lit(1)) if copies is None else F.sum(copies)
     return (
-        emit_chunks(spread_small_input(lines), shapes, words, [copies] if copies else [])
+        emit_chunks(lines, shapes, words, [copies] if copies else [], mark_lines)
         .groupBy("text", "type")
         .agg(occurrence.alias("n"))
     )
@@ -78,15 +95,21 @@ def count_chunks(lines: DataFrame, max_words: int = 2, max_gap: int = 1) -> Data
     return count_shapes(lines, all_shapes(max_words, max_gap))
 
 
-def stage_counts(counts: DataFrame) -> DataFrame:
-    """Write the counts once, one folder per type.
+def stage_counts(lines: DataFrame, max_words: int = 2, max_gap: int = 1) -> DataFrame:
+    """Counts of ``lines(line)`` and of the lines themselves, written once, one folder per type.
 
     Scoring reads them as chunks, as left halves and as right halves. With a
     folder per type each of these reads opens only the types it needs.
     """
+    counts = count_shapes(lines, all_shapes(max_words, max_gap), mark_lines=True)
     return stage(counts, "counts", partition_by=["type"])
 
 
+def line_total(counts: DataFrame) -> Column:
+    """The number of lines behind staged counts, as a scalar subquery over their smallest folder."""
+    return counts.filter(F.col("type") == LINES).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines")).scalar()
+
+
 def multi_word(counts: DataFrame) -> DataFrame:
     return counts.filter(F.col("type") > UNIGRAM)
 

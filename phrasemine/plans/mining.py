@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from phrasemine.functions.association import DEGENERATE_SCORE
 from phrasemine.operators import groups, scoring, translation
-from phrasemine.operators.chunks import count_chunks, drop_single_occurrences, stage_counts
-from phrasemine.sources.lines import size_column
+from phrasemine.operators.chunks import drop_single_occurrences, line_total, stage_counts
 
 
 def score_corpus(
@@ -21,13 +20,13 @@ def score_corpus(
 ) -> DataFrame:
     """``(text, type, n11, n10, n01, n00, chi2)`` of every chunk of ``lines(line)``.
 
-    ``counts`` takes staged counts of the same lines, to share them between jobs.
+    ``counts`` takes what ``stage_counts`` made of the same lines, to share it between jobs.
     """
-    counts = stage_counts(count_chunks(lines, max_words, max_gap)) if counts is None else counts
+    counts = stage_counts(lines, max_words, max_gap) if counts is None else counts
     chunks = None
     if not single_occurrences:
         chunks = drop_single_occurrences(counts).filter("type > 0")
-    cells = scoring.contingency(counts, size_column(lines), max_words, chunks)
+    cells = scoring.contingency(counts, line_total(counts), max_words, chunks)
     return scoring.score(cells, degenerate)
 
 
@@ -54,8 +53,8 @@ def mine_groups(
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """Groups of chunks with the same words whose pooled score is below the threshold."""
-    counts = stage_counts(count_chunks(lines, max_words, max_gap)) if counts is None else counts
-    scored = groups.group_scores(counts, size_column(lines), max_words, max_gap, degenerate)
+    counts = stage_counts(lines, max_words, max_gap) if counts is None else counts
+    scored = groups.group_scores(counts, line_total(counts), max_words, max_gap, degenerate)
     return groups.keep_groups(scored, threshold)
 
 

@@ -19,7 +19,7 @@ from phrasemine.plans import mining
 from phrasemine.shapes import MAX_GAP, MAX_WORDS, Shape, chunk_shapes
 from phrasemine.sinks import text as sinks
 from phrasemine.sources import parallel
-from phrasemine.sources.lines import corpus_size, size_column
+from phrasemine.sources.lines import corpus_size
 from phrasemine.sources.tables import (
     conversation_lines,
     document_lines,
@@ -27,7 +27,7 @@ from phrasemine.sources.tables import (
     parallel_pairs,
 )
 
-LINE_KEY = ["conv_id", "turn", "pos"]
+LINE_KEY = ["conv_id", "turn"]
 CHUNK = ["text", "type"]
 TARGET = ["dst_text", "dst_type"]
 CELLS = list(scoring.CELLS)
@@ -85,9 +85,8 @@ def chunk_constituents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_contingency(spark: SparkSession, folder: str) -> DataFrame:
-    lines = document_lines(spark, folder)
-    counts = chunk_ops.stage_counts(chunk_ops.count_chunks(lines))
-    return scoring.contingency(counts, size_column(lines))
+    counts = chunk_ops.stage_counts(document_lines(spark, folder))
+    return scoring.contingency(counts, chunk_ops.line_total(counts))
 
 
 def chunk_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,10 +99,19 @@ def chunk_scores_full(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chi_square_expr(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of all distinct tables of the documents, single and pooled by text."""
+    """Scores of all distinct tables of the documents, single and pooled by text.
+
+    Each table also comes with its last cell negated and with an empty first
+    cell, as such tables occur among translations and give scores below zero.
+    """
     single = chunk_contingency(spark, folder)
     pooled = single.groupBy("text").agg(*[F.sum(cell).alias(cell) for cell in CELLS])
-    tables = single.select(*CELLS).unionByName(pooled.select(*CELLS)).distinct()
+    found = single.select(*CELLS).unionByName(pooled.select(*CELLS)).distinct()
+    tables = (
+        found.unionByName(found.withColumn("n00", -F.col("n00")))
+        .unionByName(found.withColumn("n11", F.lit(0).cast("long")))
+        .distinct()
+    )
     return tables.select("*", chi_square(*map(F.col, CELLS)).alias("chi2"))
 
 
@@ -129,15 +137,13 @@ def chunk_type_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def group_scores(spark: SparkSession, folder: str) -> DataFrame:
-    lines = document_lines(spark, folder)
-    counts = chunk_ops.stage_counts(chunk_ops.count_chunks(lines))
-    return _group_rows(groups.group_scores(counts, size_column(lines)))
+    counts = chunk_ops.stage_counts(document_lines(spark, folder))
+    return _group_rows(groups.group_scores(counts, chunk_ops.line_total(counts)))
 
 
 def group_scores_full(spark: SparkSession, folder: str) -> DataFrame:
-    lines = conversation_lines(spark, folder)
-    counts = chunk_ops.stage_counts(chunk_ops.count_chunks(lines, MAX_WORDS, MAX_GAP))
-    return _group_rows(groups.group_scores(counts, size_column(lines), MAX_WORDS, MAX_GAP))
+    counts = chunk_ops.stage_counts(conversation_lines(spark, folder), MAX_WORDS, MAX_GAP)
+    return _group_rows(groups.group_scores(counts, chunk_ops.line_total(counts), MAX_WORDS, MAX_GAP))
 
 
 def filtered_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,6 +226,14 @@ def parsed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.parse_chunks(render_chunks(spark, folder))
 
 
+def parsed_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.parse_groups(render_groups(spark, folder))
+
+
+def parsed_translations(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.parse_translations(render_translations(spark, folder))
+
+
 def render_groups(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.render_groups(mining.mine_groups(document_lines(spark, folder)))
 
@@ -266,5 +280,7 @@ QUERIES: dict[str, Query] = {
     "render_chunks": render_chunks,
     "parsed_chunks": parsed_chunks,
     "render_groups": render_groups,
+    "parsed_groups": parsed_groups,
     "render_translations": render_translations,
+    "parsed_translations": parsed_translations,
 }

@@ -36,12 +36,9 @@ def parse_parallel(
     split = raw.withColumn("__fields", _fields(delimiter))
     complete = F.size("__fields") >= 2
     if mode == "FAILFAST":
-        error = F.raise_error(F.concat(F.lit("no second field in line: "), F.col("value")))
-        return split.select(
-            *raw.columns,
-            F.when(complete, F.get("__fields", F.lit(0))).otherwise(error.cast("string")).alias("dst"),
-            F.when(complete, F.get("__fields", F.lit(1))).otherwise(error.cast("string")).alias("src"),
-        )
+        # In the filter, as a column that nobody asks for would be left out with its error.
+        error = F.raise_error(F.concat(F.lit("no second field in line: "), F.coalesce("value", F.lit("null"))))
+        complete = F.when(complete, F.lit(True)).otherwise(error.cast("boolean"))
     return split.filter(complete).select(
         *raw.columns,
         F.get("__fields", F.lit(0)).alias("dst"),

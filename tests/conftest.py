@@ -10,13 +10,14 @@ from phrasemine.session import configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         configure(SparkSession.builder)
         .master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.default.parallelism", "2")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

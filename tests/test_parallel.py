@@ -26,6 +26,8 @@ def test_parse_and_reject(raw):
 def test_failfast(raw):
     with pytest.raises(PySparkException, match="no second field"):
         parse_parallel(raw, mode="FAILFAST").collect()
+    with pytest.raises(PySparkException, match="no second field"):
+        parse_parallel(raw, mode="FAILFAST").count()
     good = raw.filter("value like '%s%|%s%'")
     assert parse_parallel(good, mode="FAILFAST").count() == good.count() > 0
 

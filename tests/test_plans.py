@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__ as entry
 from phrasemine.plans import stage as stage_module
-from phrasemine.plans.spread import spread_small_input
 from phrasemine.plans.table_queries import QUERIES
+from phrasemine.session import INPUT_PARTITIONS
+from phrasemine.sources.tables import turn_pairs
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
@@ -42,11 +43,23 @@ def test_counts_are_read_by_type(planned):
     assert "PartitionFilters: [isnotnull(type" in planned["filtered_chunks"]
 
 
-def test_only_small_inputs_are_spread(spark, monkeypatch):
-    lines = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    assert "RoundRobinPartitioning" in plan(spread_small_input(lines))
-    monkeypatch.setattr("phrasemine.plans.spread.plan_bytes", lambda df: 100 * 2**40)
-    assert spread_small_input(lines) is lines
+@pytest.mark.parametrize("name", ["chunk_counts", "filtered_chunks", "top_translations"])
+def test_nothing_is_moved_before_extraction(planned, name):
+    assert "RoundRobinPartitioning" not in planned[name]
+
+
+def test_input_parts_are_asked_for(spark):
+    spark.conf.set(INPUT_PARTITIONS, "3")
+    try:
+        assert "RoundRobinPartitioning(3)" in plan(QUERIES["chunk_counts"](spark, FOLDER))
+    finally:
+        spark.conf.unset(INPUT_PARTITIONS)
+
+
+@pytest.mark.parametrize("name", ["filtered_chunks", "filtered_groups"])
+def test_lines_are_counted_in_the_counting_pass(planned, name):
+    """After the counts are staged, the corpus is not read again."""
+    assert "documents.parquet" not in planned[name]
 
 
 def test_stages_go_to_the_shared_folder(spark, tmp_path, monkeypatch):
@@ -55,6 +68,18 @@ def test_stages_go_to_the_shared_folder(spark, tmp_path, monkeypatch):
     assert written.count() == 5 and list(tmp_path.glob("phrasemine/*/numbers"))
 
 
+def test_turn_pairs_keep_all_text(spark):
+    turns = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()}
+    pairs = turn_pairs(spark, FOLDER).collect()
+    assert len(pairs) == sum(
+        r.role == "user" and (c, t + 1) in turns and turns[c, t + 1].role == "assistant"
+        for (c, t), r in turns.items()
+    )
+    for p in pairs:
+        assert p.src == turns[p.conv_id, p.turn].text.replace("\n", " ")
+        assert p.dst == turns[p.conv_id, p.turn + 1].text.replace("\n", " ")
+
+
 def test_every_query_runs(spark):
     assert set(entry.oracle_sql()) < set(entry.queries())
     assert entry.entry(spark).count() > 0

@@ -1,6 +1,8 @@
 from phrasemine.plans.mining import mine_chunks, mine_groups, mine_translations
 from phrasemine.sinks.text import (
     parse_chunks,
+    parse_groups,
+    parse_translations,
     render_chunks,
     render_groups,
     render_translations,
@@ -30,6 +32,33 @@ def test_words_with_an_at_sign_come_back(make_lines):
     assert {tuple(r) for r in parse_chunks(render_chunks(kept)).collect()} == expected
 
 
+def test_words_with_other_line_breaks_come_back(spark, make_lines):
+    lines = make_lines("a\r b\u2028c d", "b\u0085 c", "", "a\r d")
+    kept = mine_chunks(lines, threshold=100.0)
+    expected = {(r.text, r.type, r.chi2) for r in kept.collect()}
+    rendered = render_chunks(kept)
+    assert {tuple(r) for r in parse_chunks(rendered).collect()} == expected
+    noise = spark.createDataFrame([("no record",), ("",), (None,)], "line string")
+    assert parse_chunks(rendered.unionAll(noise)).count() == len(expected)
+
+
+def test_groups_come_back(make_lines):
+    lines = make_lines("a@1 b a@1 x b", "a@1 b", "\\E q b", "a@1 z b", *["", ""] * 9)
+    groups = mine_groups(lines, threshold=1e9)
+    expected = {
+        (r.text, r.level, str(r.type) if r.level == 1 else "#" + "#".join(map(str, r.types)), r.chi2)
+        for r in groups.collect()
+    }
+    assert expected and {tuple(r) for r in parse_groups(render_groups(groups)).collect()} == expected
+
+
+def test_translations_come_back(make_lines, make_pairs):
+    best = mine_translations(mine_chunks(make_lines(*M1)), make_pairs(*PAIRS))
+    columns = ["text", "type", "chunk_chi2", "rank", "dst_text", "dst_type", "score"]
+    expected = {tuple(r) for r in best.select(*columns).collect()}
+    assert {tuple(r) for r in parse_translations(render_translations(best)).select(*columns).collect()} == expected
+
+
 def test_groups(make_lines):
     (row,) = render_groups(mine_groups(make_lines(*M2))).collect()
     single, pooled = MINUS_TWO_THIRDS, "-1.3333333333333333"
