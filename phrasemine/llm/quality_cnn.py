@@ -51,14 +51,17 @@ def layout(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return padded, half_at
 
 
-def respond(model: dict, padded: np.ndarray) -> np.ndarray:
-    """Filter responses at each step of ``padded``."""
+def respond(model: dict, padded: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Filter responses at each step of ``padded``; those that reach over a row's end (a step of ``ends``) do not count."""
     x = model["bytes"][padded].reshape(-1, STEP * DIM)
     parts = x @ model["filters"]
     out = parts[:, :FILTERS].copy()
     for k in range(1, BLOCKS):
         out[:-k] += parts[k:, k * FILTERS : (k + 1) * FILTERS]
-    return out + model["bias"]
+    out += model["bias"]
+    for k in range(1, BLOCKS):
+        out[ends - k] = -np.inf
+    return out
 
 
 def pool(responses: np.ndarray) -> np.ndarray:
@@ -90,13 +93,14 @@ def score_texts(model: dict, column: pa.Array) -> np.ndarray:
     out = np.empty(len(column))
     for first, data, at in slices(column):
         padded, half_at = layout(at, data)
-        halves = np.vstack(
-            [
-                # Two more steps, so that windows reach over the cut; their maxima are not used.
-                pool(respond(model, np.concatenate([padded[a : a + WIDE + STEP * BLOCKS], np.zeros(STEP * BLOCKS, np.uint8)]))[: min(WIDE, len(padded) - a) // STEP])
-                for a in range(0, len(padded), WIDE)
-            ]
-        )
+        ends, halves = half_at[1:] * (HALF // STEP), []
+        for a in range(0, len(padded), WIDE):
+            # Some steps more, as windows reach over the cut; their own maxima are not used.
+            piece = padded[a : a + WIDE + STEP * BLOCKS]
+            steps = min(WIDE, len(padded) - a) // STEP
+            inside = ends[(ends > a // STEP) & (ends <= a // STEP + steps)] - a // STEP
+            halves.append(pool(respond(model, piece, inside)[:steps]))
+        halves = np.vstack(halves)
         out[first : first + len(at) - 1] = combine(model, halves, half_at)
     return out
 
@@ -123,7 +127,7 @@ def gradients(model: dict, padded: np.ndarray, half_at: np.ndarray, y: np.ndarra
     rows = len(y)
     per = (half_at[-1]) // rows
     steps = HALF // STEP
-    responses = respond(model, padded).reshape(-1, steps, FILTERS)
+    responses = respond(model, padded, half_at[1:] * steps).reshape(-1, steps, FILTERS)
     best = responses.argmax(1)
     tops = np.maximum(np.take_along_axis(responses, best[:, None], 1)[:, 0], 0).reshape(rows, per, FILTERS)
     left = tops[:, :-1] >= tops[:, 1:]
