@@ -1,0 +1,68 @@
+import re
+
+from pyspark.sql import functions as F
+
+from phrasemine.llm.license_rules import PHRASES, rules
+from phrasemine.llm.license_scan import scan_licenses
+from tests.llm.texts import SCHEMA, awkward
+
+TEXTS = [
+    "Licensed under the Apache License, Version 2.0.", "MIT license mit LICENSE mit\nlicense", "mitt license submit license",
+    "GNU General Public License v3", "gnu general public license", "CC-BY", "Licensed under CC BY-NC 4.0.", "xcc by ccc by",
+    "SPDX-License-Identifier: BSD-3-Clause", "© 2020 All Rights Reserved. cc by", "under the terms of the GNU Lesser General Public Licence 2.1",
+    "the mit license and apache license or mit license", "İ apache\x00license", "license " * 50 + "cc by",
+]
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = WORD.findall(low)
+    places, base = [], set()
+    for phrase, label in PHRASES:
+        p = phrase.split(" ")
+        for k in range(len(words) - len(p) + 1):
+            if words[k : k + len(p)] == p:
+                places.append(k)
+                base.add(label)
+    norm = " " + " ".join(words) + " "
+    found = []
+    for r in rules():
+        for m in re.finditer(r.pattern + "(?= )", norm) if r.keyword in norm else ():
+            start = norm[: m.start()].count(" ")
+            found.append((start, -(start + m.group().count(" ")), r.priority, r.label, r.confidence))
+    kept, end = [], 0
+    for d in sorted(found):
+        if -d[1] > end:
+            kept.append(d)
+            end = -d[1]
+    labels = base | {d[3] for d in kept}
+    score = max([d[4] for d in kept] + [0.8 if places else 0.0])
+    return (
+        len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score,
+        [(d[0], -d[1] - 1, d[3]) for d in kept],
+    )
+
+
+def test_against_plain_python(spark):
+    rows = [*awkward(), *[(100 + k, t, None, None, 1) for k, t in enumerate(TEXTS)]]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"labels": F.lit(1), "n_words": F.lit("x"), "priority": F.lit(3)})
+    texts = {r[0]: r[1] for r in rows}
+    found = scan_licenses(docs).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        mine = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score, [tuple(d) for d in r.detections])
+        assert mine == brute(texts[r.doc_id]), texts[r.doc_id]
+    by_text = {texts[r.doc_id]: r.labels for r in found}
+    assert by_text[TEXTS[0]] == "apache,apache-2.0" and by_text[TEXTS[6]] == "cc-by,cc-by-nc"
+    assert by_text[TEXTS[10]] == "lgpl-2.1" and by_text[TEXTS[2]] == ""
+
+
+def test_rules_are_many_and_each_has_its_keyword():
+    assert len(rules()) > 200 and rules() == sorted(rules())
+    for r in rules():
+        assert re.compile(r.pattern) and r.pattern.startswith(" ")
+
+
+def test_empty(spark):
+    assert scan_licenses(spark.createDataFrame([], SCHEMA)).collect() == []
