@@ -27,6 +27,7 @@ def attach(
     take: Mapping[str, str],
     weight: str,
     inner: bool = False,
+    universe: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns of ``table`` to ``facts``, spreading the frequent keys.
 
@@ -41,6 +42,10 @@ def attach(
     go on under a random-looking salt that nothing matches, evenly over all
     tasks. The others meet the table in a shuffled join in which no key can own
     more than ``FREQUENT_SHARE`` of the rows. Both joins are exact.
+
+    Frequent keys that the table does not have would all meet in one task. With
+    ``inner``, ``universe`` may give the weight of every key that facts can have, under the
+    table's names; facts with frequent keys that are absent are then dropped where they are.
     """
     names = {column: f"__{place}_{column}" for place, column in enumerate([*on.values(), *take])}
 
@@ -54,6 +59,12 @@ def attach(
             condition = condition & pair
         return condition
 
+    if inner and universe is not None:
+        keys = list(on.values())
+        absent = frequent(universe, weight).select(*keys).distinct().join(table.select(*keys), keys, "left_anti")
+        absent = absent.select(*[F.col(c).alias("hot" + names[c]) for c in keys])
+        facts = facts.join(F.broadcast(absent), matches("hot"), "left_anti")
+
     hot = side(frequent(table, weight), "hot", [F.lit(True).alias("__hot")])
     # Always 0, but not a literal: a literal would be folded out of the join keys
     # and the salt with it.

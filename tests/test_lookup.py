@@ -66,3 +66,20 @@ def test_frequent_keys_spread_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < 500
+
+
+def test_frequent_keys_that_are_absent_go_before_the_shuffle(spark):
+    rows = [(k, "hot" if k % 3 else f"k{k}") for k in range(900)]
+    facts = spark.createDataFrame(rows, "id int, key string")
+    table = spark.createDataFrame([(f"k{k}", 1, "v") for k in range(0, 900, 9)], "name string, n long, value string")
+    universe = facts.groupBy(F.col("key").alias("name")).agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = attach(facts, table, {"key": "name"}, {"value": "v"}, weight="n", inner=True, universe=universe)
+        text = found._jdf.queryExecution().toString()
+        assert found.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in text and text.index("LeftAnti") > 0
