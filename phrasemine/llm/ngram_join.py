@@ -29,7 +29,7 @@ from phrasemine.plans.stage import stage
 
 BINS = 1 << 21  # bins in which shingles are counted: 8 MB, whatever the corpus
 PARTS = 64
-BANDS = 4
+BANDS = 8
 GROUP = 256  # partners of a query that are indexed together
 MU = 0.01  # cost of a probe against a merge step, as in DivideSkip's choice of the long lists
 
@@ -106,21 +106,22 @@ def bands_of(s: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``(doc_id, n, d1, d2, bands, prefix, last_count, last_hash)`` of each document.
+    """``(doc_id, n, d1, d2, bands, prefix, last_count, last_hash, common)`` of each document.
 
     ``prefix`` has the shingles of the n - T + 1 short lists: those of the
-    rarest bins, ties by hash. The last of them is given for comparison with others.
+    rarest bins, ties by hash. The last of them is given for comparison with others. ``common`` is how often its shingles occur, on average.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     schema = (
-        "doc_id long, n long, d1 long, d2 long, bands array<long>, prefix array<long>, last_count long, last_hash long"
+        "doc_id long, n long, d1 long, d2 long, bands array<long>, prefix array<long>, last_count long,"
+        " last_hash long, common double"
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bin = shared.value
         for batch in batches:
             for first, data, at in slices(batch.column("text")):
-                n, d, bands, prefix, last = [], [], [], [], []
+                n, d, bands, prefix, last, common = [], [], [], [], [], []
                 for s in shingle_sets(data, at, size):
                     n.append(len(s))
                     d.append(xxhash.xxh3_128_intdigest(s.tobytes()))
@@ -128,12 +129,14 @@ def describe(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                         bands.append(s)
                         prefix.append(s)
                         last.append((0, 0))
+                        common.append(0.0)
                         continue
                     often = by_bin[bin_of(s)]
                     order = np.argsort(often, kind="stable")[: len(s) - (percent * len(s) + 99) // 100 + 1]
                     bands.append(bands_of(s))
                     prefix.append(s[order])
                     last.append((int(often[order[-1]]), int(s[order[-1]] >> np.uint64(1))))
+                    common.append(float(often.mean()))
                 yield pa.record_batch(
                     [
                         batch.column("doc_id").slice(first, len(n)).cast(pa.int64()),
@@ -144,8 +147,9 @@ def describe(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                         list_column(prefix),
                         pa.array([x for x, _ in last], pa.int64()),
                         pa.array([x for _, x in last], pa.int64()),
+                        pa.array(common, pa.float64()),
                     ],
-                    names=["doc_id", "n", "d1", "d2", "bands", "prefix", "last_count", "last_hash"],
+                    names=["doc_id", "n", "d1", "d2", "bands", "prefix", "last_count", "last_hash", "common"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(work, schema)
@@ -256,11 +260,12 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 def stars(known: DataFrame, now: DataFrame, turn: int, percent: int) -> DataFrame:
     """At most one partner ``(a, b)`` for each document ``b``, out of another component.
 
-    Documents whose smallest shingles agree point to one of them, which differs
-    from ``turn`` to ``turn``. This ties the members of a large group to a few,
-    so that the full search need not compare all with all.
+    Documents whose smallest shingles agree point to one of them: in the first
+    turn to the one whose shingles are the most common, which is what edited copies were
+    made from, as edits are rare shingles; then to any. This ties the members of a
+    large group to a few, so that the full search need not compare all with all.
     """
-    order = F.xxhash64("rep", F.lit(turn))
+    order = F.struct(F.when(F.lit(turn) == 0, -F.col("common")).alias("c"), F.xxhash64("rep", F.lit(turn)).alias("h"))
     rows = (
         known.join(now, "rep").select("rep", "n", "component", F.explode("bands").alias("band"), order.alias("o"))
     )
@@ -299,7 +304,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
     described = stage(describe(docs, shingle_counts(docs, size), size, percent), "described")
     classes = described.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = stage(classes, "classes")
-    one = described.select("d1", "d2", F.col("doc_id").alias("rep"), "n", "bands", "prefix", "last_count", "last_hash")
+    one = described.select("d1", "d2", F.col("doc_id").alias("rep"), "n", "bands", "prefix", "last_count", "last_hash", "common")
     known = stage(one.join(classes, ["d1", "d2", "rep"]).dropDuplicates(["d1", "d2"]).drop("d1", "d2"), "known")
     reps = known.select("rep").distinct()
 
