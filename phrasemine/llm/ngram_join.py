@@ -18,7 +18,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phrasemine.llm.fetch import of_chosen
@@ -317,13 +317,9 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
 
     # Short lists: a shingle whose documents are all in one component has nothing to add.
     entries = known.join(now, "rep").select("rep", "n", "component", F.explode("prefix").alias("shingle"))
-    mixed = (
-        entries.groupBy("shingle")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low <> high")
-        .select("shingle")
-    )
-    lists = stage(entries.join(mixed, "shingle"), "lists")
+    group = Window.partitionBy("shingle")
+    mixed = entries.withColumn("mixed", F.min("component").over(group) < F.max("component").over(group))
+    lists = stage(mixed.filter("mixed").drop("mixed"), "lists")
     left, right = (lists.select("shingle", *[F.col(c).alias(c + t) for c in ("rep", "n", "component")]) for t in "12")
     met = (
         left.join(right, "shingle")
