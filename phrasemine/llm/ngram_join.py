@@ -4,9 +4,9 @@ The search is a T-occurrence search. A document that links with a query of n
 shingles shares T = ceil(0.8 n) of them. Its inverted lists are divided: the
 longest T - 1 are set aside, so that a partner must occur in one of the n - T + 1
 others. These short lists are merged first, by one shuffle on the shingle, with the number
-of occurrences that the sizes of both documents ask for. What passes is
-searched exactly: the partners of a query are indexed, their short lists are
-heap-merged, and the long ones are probed by binary search (DivideSkip).
+of occurrences that the sizes of both sides ask for; a side may be a group that is known to be
+connected. What passes is searched exactly: partners are indexed in chunks,
+their short lists are heap-merged, and the long ones are probed by binary search (DivideSkip).
 """
 
 from __future__ import annotations
@@ -106,36 +106,33 @@ def bands_of(s: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``(doc_id, n, d1, d2, bands, prefix, last_count, last_hash, common)`` of each document.
+    """``(doc_id, n, d1, d2, bands, prefix, common)`` of each document.
 
     ``prefix`` has the shingles of the n - T + 1 short lists: those of the
-    rarest bins, ties by hash. The last of them is given for comparison with others. ``common`` is how often its shingles occur, on average.
+    rarest bins, ties by hash. ``common`` is how often its shingles occur, on average.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     schema = (
-        "doc_id long, n long, d1 long, d2 long, bands array<long>, prefix array<long>, last_count long,"
-        " last_hash long, common double"
+        "doc_id long, n long, d1 long, d2 long, bands array<long>, prefix array<long>, common double"
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bin = shared.value
         for batch in batches:
             for first, data, at in slices(batch.column("text")):
-                n, d, bands, prefix, last, common = [], [], [], [], [], []
+                n, d, bands, prefix, common = [], [], [], [], []
                 for s in shingle_sets(data, at, size):
                     n.append(len(s))
                     d.append(xxhash.xxh3_128_intdigest(s.tobytes()))
                     if not len(s):
                         bands.append(s)
                         prefix.append(s)
-                        last.append((0, 0))
                         common.append(0.0)
                         continue
                     often = by_bin[bin_of(s)]
                     order = np.argsort(often, kind="stable")[: len(s) - (percent * len(s) + 99) // 100 + 1]
                     bands.append(bands_of(s))
                     prefix.append(s[order])
-                    last.append((int(often[order[-1]]), int(s[order[-1]] >> np.uint64(1))))
                     common.append(float(often.mean()))
                 yield pa.record_batch(
                     [
@@ -145,11 +142,9 @@ def describe(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                         pa.array(np.array([x >> 64 for x in d], np.uint64).view(np.int64)),
                         list_column(bands),
                         list_column(prefix),
-                        pa.array([x for x, _ in last], pa.int64()),
-                        pa.array([x for _, x in last], pa.int64()),
                         pa.array(common, pa.float64()),
                     ],
-                    names=["doc_id", "n", "d1", "d2", "bands", "prefix", "last_count", "last_hash", "common"],
+                    names=["doc_id", "n", "d1", "d2", "bands", "prefix", "common"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(work, schema)
@@ -166,27 +161,28 @@ def needed(a, b, percent: int):
     )
 
 
-def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """Which of ``sets`` link with ``query``; all are sorted arrays.
+def build_index(sets: list[np.ndarray]) -> tuple:
+    """Inverted lists of some sets: shingles in order, whose they are, and the sets themselves."""
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    return tokens[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order], sets
+
+
+def divide_skip(query: np.ndarray, index: tuple, percent: int) -> list[int]:
+    """Which of the indexed sets link with ``query``; all are sorted arrays.
 
     Heap-merges the short inverted lists, and probes the long ones for the sets
     that occur often enough in the short ones.
     """
-    sizes = np.array([len(s) for s in sets])
-    need = [needed(len(query), int(n), percent) for n in sizes]
-    everything = np.concatenate(sets)
-    at = np.minimum(np.searchsorted(query, everything), len(query) - 1)
-    hit = query[at] == everything
-    token, owner = at[hit], np.repeat(np.arange(len(sets)), sizes)[hit]
-    order = np.argsort(token, kind="stable")
-    owner = owner[order]
-    length = np.bincount(token, minlength=len(query))
-    ends = np.cumsum(length)
+    tokens, owner, sets = index
+    need = [needed(len(query), len(s), percent) for s in sets]
+    low, high = np.searchsorted(tokens, query), np.searchsorted(tokens, query, "right")
+    length = high - low
     least = min(need)
     aside = min(least - 1, int(least / (MU * np.log2(max(2, length.max(initial=1))) + 1)))
     by_length = np.argsort(length, kind="stable")
     short, long = by_length[: len(query) - aside], by_length[len(query) - aside :]
-    lists = [owner[ends[k] - length[k] : ends[k]].tolist() for k in short.tolist() if length[k]]
+    lists = [owner[low[k] : high[k]].tolist() for k in short.tolist() if length[k]]
     probes = query[np.sort(long)]
     linked = []
     for who, seen in groupby(heapq.merge(*lists)):
@@ -200,12 +196,8 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list
     return linked
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``(a, b)`` of ``pairs`` that link, by DivideSkip over the partners of each ``a``.
-
-    Sets are made anew from the texts of the documents that occur. A query with
-    many partners is dealt over several tasks, GROUP partners at a time.
-    """
+def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``(doc_id, shingles)`` of the documents in ``ids(id)``, made anew from their texts."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [s.tobytes() for _, data, at in slices(batch.column("text")) for s in shingle_sets(data, at, size)]
@@ -213,48 +205,78 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
             {"doc_id": batch.column("doc_id").cast(pa.int64()), "shingles": pa.array(made, pa.binary())}
         )
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    found = stage(of_chosen(docs, ids, "id", sets, "doc_id long, shingles binary"), "sets")
-    many = pairs.groupBy("a").agg(F.count("*").alias("__n"))
-    dealt = pairs.join(many, "a").select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("__n") / GROUP)).cast("int").alias("chunk")
-    )
-    asked = dealt.select("a", "chunk").distinct().join(found, F.col("a") == F.col("doc_id"))
-    given = dealt.join(found, F.col("b") == F.col("doc_id"))
-    rows = asked.select("a", "chunk", F.lit(None).cast("long").alias("b"), "shingles").unionAll(
-        given.select("a", "chunk", "b", "shingles")
-    )
+    return stage(of_chosen(docs, ids, "id", sets, "doc_id long, shingles binary"), "sets")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, key, who, sets = None, None, [], []
 
-        def done() -> pa.RecordBatch:
-            linked = divide_skip(query, sets, percent) if sets else []
-            return pa.record_batch(
-                {
-                    "a": pa.array([key[0]] * len(linked), pa.int64()),
-                    "b": pa.array([who[k] for k in linked], pa.int64()),
-                }
-            )
+def searched(rows: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` that link, among the rows of each ``(key, chunk)``.
+
+    ``rows(key, chunk, asks, id, shingles)``: those that do not ask are indexed, GROUP
+    at most, and come first; then each that asks is searched for.
+    """
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, who, sets, index = None, [], [], None
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(3)]
-            for a, chunk, b, raw in zip(*columns, batch.column(3), strict=True):
+            a, b = [], []
+            columns = [batch.column(k).to_pylist() for k in range(4)]
+            for group, chunk, asks, own, raw in zip(*columns, batch.column(4), strict=True):
                 s = np.frombuffer(raw.as_buffer(), np.uint64)
-                if (a, chunk) != key or len(sets) >= GROUP:
-                    if sets:
-                        yield done()
-                    who, sets = [], []
-                if (a, chunk) != key:
-                    key, query = (a, chunk), s
-                if b is not None:
-                    who.append(b)
+                if (group, chunk) != key:
+                    key, who, sets, index = (group, chunk), [], [], None
+                if not asks:
+                    who.append(own)
                     sets.append(s)
-        if sets:
-            yield done()
+                elif sets:
+                    index = index or build_index(sets)
+                    found = divide_skip(s, index, percent)
+                    a += [own] * len(found)
+                    b += [who[k] for k in found]
+            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "asks", "id")
+    return dealt.mapInArrow(search, "a long, b long")
+
 
-    sorted_rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    return sorted_rows.mapInArrow(search, "a long, b long")
+def chunk_of(column: str, many: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.ceil(F.col(many) / GROUP)).cast("int").alias("chunk")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The ``(a, b)`` of ``pairs`` that link: ``a`` is searched for among its partners, GROUP at a time."""
+    found = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size)
+    many = pairs.groupBy("a").agg(F.count("*").alias("__n"))
+    dealt = pairs.join(many, "a").select("a", "b", chunk_of("b", "__n"))
+    asked = dealt.select("a", "chunk").distinct().join(found, F.col("a") == F.col("doc_id"))
+    given = dealt.join(found, F.col("b") == F.col("doc_id"))
+    rows = given.select(F.col("a").alias("key"), "chunk", F.lit(0).alias("asks"), F.col("b").alias("id"), "shingles")
+    asking = asked.select(F.col("a").alias("key"), "chunk", F.lit(1).alias("asks"), F.col("a").alias("id"), "shingles")
+    return searched(rows.unionAll(asking), percent)
+
+
+def verified_groups(
+    asked: DataFrame, members: DataFrame, docs: DataFrame, size: int, percent: int
+) -> DataFrame:
+    """Links of each ``rep`` with the members of the component ``other`` of ``asked(rep, other, size)``.
+
+    ``members`` is ``(rep, component)``. A component is cut into chunks of GROUP
+    members or so; each is indexed once, for all that ask for it.
+    """
+    groups = asked.select(F.col("other").alias("component"), "size").distinct()
+    dealt = members.join(groups, "component").select("component", "rep", chunk_of("rep", "size"))
+    dealt = stage(dealt, "members")
+    ids = dealt.select(F.col("rep").alias("id")).unionAll(asked.select(F.col("rep").alias("id"))).distinct()
+    found = sets_of(docs, ids, size)
+    chunks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / GROUP).cast("int") - 1)).alias("chunk")
+    rows = dealt.join(found, F.col("rep") == F.col("doc_id")).select(
+        F.col("component").alias("key"), "chunk", F.lit(0).alias("asks"), F.col("rep").alias("id"), "shingles"
+    )
+    asking = (
+        asked.join(found, F.col("rep") == F.col("doc_id"))
+        .select("other", chunks, "rep", "shingles")
+        .select(F.col("other").alias("key"), "chunk", F.lit(1).alias("asks"), F.col("rep").alias("id"), "shingles")
+    )
+    return searched(rows.unionAll(asking), percent)
 
 
 def stars(known: DataFrame, now: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -304,7 +326,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
     described = stage(describe(docs, shingle_counts(docs, size), size, percent), "described")
     classes = described.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = stage(classes, "classes")
-    one = described.select("d1", "d2", F.col("doc_id").alias("rep"), "n", "bands", "prefix", "last_count", "last_hash", "common")
+    one = described.select("d1", "d2", F.col("doc_id").alias("rep"), "n", "bands", "prefix", "common")
     known = stage(one.join(classes, ["d1", "d2", "rep"]).dropDuplicates(["d1", "d2"]).drop("d1", "d2"), "known")
     reps = known.select("rep").distinct()
 
@@ -315,31 +337,38 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
         edges.append(tied)
         now = current(reps, edges)
 
-    # Short lists: a shingle whose documents are all in one component has nothing to add.
-    entries = known.join(now, "rep").select("rep", "n", "component", F.explode("prefix").alias("shingle"))
+    # Short lists: a shingle whose documents are all in one component has nothing to add. A
+    # document asks for the components that are larger than its own, each as a whole.
+    groups = stage(
+        known.join(now, "rep")
+        .groupBy("component")
+        .agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most")),
+        "groups",
+    )
+    members = known.join(now, "rep").join(groups.select("component", "size"), "component")
+    entries = members.select("rep", "component", "size", F.explode("prefix").alias("shingle"))
     group = Window.partitionBy("shingle")
     mixed = entries.withColumn("mixed", F.min("component").over(group) < F.max("component").over(group))
     lists = stage(mixed.filter("mixed").drop("mixed"), "lists")
-    left, right = (lists.select("shingle", *[F.col(c).alias(c + t) for c in ("rep", "n", "component")]) for t in "12")
+    others = lists.select("shingle", F.col("component").alias("other"), F.col("size").alias("other_size")).distinct()
     met = (
-        left.join(right, "shingle")
-        .filter(
-            (F.col("rep1") < F.col("rep2"))
-            & (F.col("component1") != F.col("component2"))
-            & sizes_fit(F.col("n1"), F.col("n2"), percent)
-        )
-        .groupBy("rep1", "rep2")
+        lists.join(others, "shingle")
+        .filter(F.struct("other_size", "other") > F.struct("size", "component"))
+        .groupBy("rep", "other")
         .agg(F.count("*").alias("often"))
     )
-    last = known.select("rep", "n", F.size("prefix").alias("p"), F.struct("last_count", "last_hash").alias("last"))
-    for t in "12":
-        met = met.join(last.select(*[F.col(c).alias(c + t) for c in ("rep", "n", "p", "last")]), "rep" + t)
-    # Up to the earlier of both last places every common shingle was merged; beyond it
-    # there are no more than the set-aside lists of that document.
-    aside = F.when(F.col("last1") <= F.col("last2"), F.col("n1") - F.col("p1")).otherwise(F.col("n2") - F.col("p2"))
-    near = met.filter(F.col("often") + aside >= needed(F.col("n1"), F.col("n2"), percent))
-    pairs = stage(near.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")), "pairs")
-    edges.append(stage(verified(pairs, docs, size, percent), "edges"))
+    met = met.join(known.select("rep", "n", F.size("prefix").alias("p")), "rep").join(
+        groups.withColumnRenamed("component", "other"), "other"
+    )
+    # Beyond the earlier of both prefixes' ends, there are no more common shingles than the set-aside
+    # lists of that document: of this one, with the smallest partner, or of the largest partner.
+    low = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - 1e-9))
+    high = F.least(F.col("most"), F.col("n") * 100 / percent)
+    own = needed(F.col("n"), low, percent) - (F.col("n") - F.col("p"))
+    theirs = (F.col("n") + high) * percent / (100 + percent) - high * percent / 100 - 1e-6
+    fits = (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
+    asked = stage(met.filter(fits & (F.col("often") >= F.least(own, theirs))).select("rep", "other", "size"), "asked")
+    edges.append(stage(verified_groups(asked, now, docs, size, percent), "edges"))
 
     named = classes.join(current(reps, edges), "rep").select("d1", "d2", "component")
     return described.join(named, ["d1", "d2"], "left").select(

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from phrasemine.llm.ngram_join import divide_skip, ngram_join
+from phrasemine.llm.ngram_join import build_index, divide_skip, ngram_join
 from tests.llm.texts import SCHEMA, awkward, near_groups
 
 
@@ -20,7 +20,7 @@ def test_divide_skip_finds_the_same_as_intersection():
                 if rng.random() < 0.5:
                     other.add(rng.randrange(200, 300))
             sets.append(sorted(other) or [299])
-        found = divide_skip(np.array(query, np.uint64), [np.array(s, np.uint64) for s in sets], 80)
+        found = divide_skip(np.array(query, np.uint64), build_index([np.array(s, np.uint64) for s in sets]), 80)
         expected = [
             k for k, s in enumerate(sets) if 100 * len(set(query) & set(s)) >= 80 * len(set(query) | set(s))
         ]
