@@ -33,6 +33,7 @@ START, END = np.uint64(1), np.uint64(2)  # in place of a word's hash
 CLASSES = 34  # buckets of the context's frequency: unseen, 1, 2-3, 4-7, ...
 RATIOS = 96  # bins of the ratio of both estimates, two for each power of two; bin 0: the pair is new
 LEVELS = 256
+SUMS = 8
 
 MESSAGE = "kind int, part int, block long, payload binary"
 
@@ -142,6 +143,16 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[in
         yield key, rows
 
 
+def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One message for each part, with the sums of its arrays."""
+    total: dict[tuple, dict] = {}
+    for batch in batches:
+        for kind, part, _, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            new, old = unpack(payload), total.get((kind, part))
+            total[kind, part] = {k: x + old[k] for k, x in new.items()} if old else new
+    yield message([(kind, part, -1, pack(**x)) for (kind, part), x in total.items()])
+
+
 def sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Answers (kind 1) with the corpus counts of the words sent; totals are kind 9."""
     for part, rows in grouped(batches, "part"):
@@ -323,8 +334,10 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
         return every.repartition("block").sortWithinPartitions("block", "kind", "part")
 
     def gather(answers: DataFrame, kind: int) -> list[dict]:
-        """The few numbers that each bucket has for the driver."""
-        return [unpack(r["payload"]) for r in answers.filter(F.col("kind") == kind).select("payload").toLocalIterator()]
+        """What the buckets have for the driver, summed by the tasks to SUMS rows at most."""
+        rows = answers.filter(F.col("kind") == kind).withColumn("part", F.pmod("part", F.lit(SUMS)))
+        summed = rows.repartition(SUMS, "part").sortWithinPartitions("part").mapInArrow(add_up, MESSAGE)
+        return [unpack(r["payload"]) for r in summed.select("payload").collect()]
 
     words = stage(to_buckets(blocks.mapInArrow(send_words, MESSAGE)).mapInArrow(sum_words, MESSAGE), "words")
     totals = gather(words, 9)
