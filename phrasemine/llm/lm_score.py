@@ -114,7 +114,7 @@ def word_messages(block: int, b: dict, parts: int) -> Iterator[tuple]:
     """A block's distinct words and how often they occur in training; the start counts its training documents."""
     train = np.repeat(~b["out"], b["sizes"])
     count = np.bincount(b["tokens"][train], minlength=len(b["words"]))
-    yield (1, 0, block, pack(words=np.array([START]), count=np.array([(~b["out"]).sum()])))
+    yield (3, 0, block, pack(words=np.array([START]), count=np.array([(~b["out"]).sum()])))
     at, bounds = split_sorted(b["words"], parts)
     for p in np.unique(at).tolist():
         own = slice(bounds[p], bounds[p + 1])
@@ -143,6 +143,11 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[in
         yield key, rows
 
 
+def small(counts: np.ndarray) -> np.ndarray:
+    """The same counts in as few bytes as hold them."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32 if counts.max() >> 32 == 0 else np.int64)
+
+
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One message for each part, with the sums of its arrays."""
     total: dict[tuple, dict] = {}
@@ -154,28 +159,25 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers (kind 1) with the corpus counts of the words sent; totals are kind 9."""
+    """Answers with the corpus counts of the words sent, in their order; totals are kind 9."""
     for part, rows in grouped(batches, "part"):
         sent = [unpack(r[3]) for r in rows]
         words, total, answers = summed([s["words"] for s in sent], [s["count"] for s in sent])
         real = words != START
         yield message([(9, part, -1, pack(n=int(total[real].sum()), v=int((total[real] > 0).sum())))])
-        yield message(
-            [(1, part, r[2], pack(words=s["words"], count=a)) for r, s, a in zip(rows, sent, answers, strict=True)]
-        )
+        yield message([(r[0], part, r[2], pack(count=small(a))) for r, a in zip(rows, answers, strict=True)])
 
 
-def with_counts(rows: list[tuple]) -> tuple[dict, np.ndarray, int]:
+def with_counts(rows: list[tuple], parts: int) -> tuple[dict, np.ndarray, int]:
     """A block, the corpus counts of its words, and that of the start, from its messages."""
     block = unpack(next(r[3] for r in rows if r[0] == 0))
     count, starts = np.zeros(len(block["words"]), np.int64), 0
-    for r in rows:
-        if r[0] == 1:
-            a = unpack(r[3])
-            if a["words"][0] == START:
-                starts = int(a["count"][0])
-                a = {k: x[1:] for k, x in a.items()}
-            count[np.searchsorted(block["words"], a["words"])] = a["count"]
+    _, bounds = split_sorted(block["words"], parts)
+    for kind, part, _, payload in rows:
+        if kind == 1:
+            count[bounds[part] : bounds[part + 1]] = unpack(payload)["count"]
+        elif kind == 3:
+            starts = int(unpack(payload)["count"][0])
     return block, count, starts
 
 
@@ -193,7 +195,7 @@ def pairs_of(b: dict, count: np.ndarray, starts: int) -> tuple[np.ndarray, ...]:
 
 
 def pair_messages(block: int, rows: list[tuple], parts: int) -> Iterator[tuple]:
-    b, count, starts = with_counts(rows)
+    b, count, starts = with_counts(rows, parts)
     keys, own, context = pairs_of(b, count, starts)
     distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
     train = np.repeat(~b["out"], b["sizes"])
@@ -206,7 +208,7 @@ def pair_messages(block: int, rows: list[tuple], parts: int) -> Iterator[tuple]:
         c = seen[part]
         yield (
             2, p, block,
-            pack(first=gaps[0], steps=steps, count=c.astype(np.uint8 if c.max() < 256 else np.uint32),
+            pack(first=gaps[0], steps=steps, count=small(c),
                  own=level(own[first[part]]), context=level(context[first[part]])),
         )
 
@@ -223,7 +225,7 @@ def sum_pairs(n: int, v: int):
             yield message([(8, part, -1, pack(table=held_out_table(total, own, context, n, v)))])
             yield message(
                 [
-                    (2, part, r[2], pack(count=a.astype(np.uint8 if a.max() < 256 else np.uint32)))
+                    (2, part, r[2], pack(count=small(a)))
                     for r, a in zip(rows, answers, strict=True)
                 ]
             )
@@ -276,7 +278,7 @@ RESULT = (
 
 
 def scores(rows: list[tuple], weights: np.ndarray, n: int, v: int, parts: int) -> pa.RecordBatch:
-    b, count, starts = with_counts(rows)
+    b, count, starts = with_counts(rows, parts)
     keys, own, context = pairs_of(b, count, starts)
     distinct, place = np.unique(keys, return_inverse=True)
     at, bounds = split_sorted(distinct, parts)
