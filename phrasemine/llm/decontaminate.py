@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A fixed mask picks 8 of 12 word positions and ignores the others. The words it
+A fixed mask picks 7 of at most 12 word positions and ignores the others. The words it
 picks are hashed at every position of benchmark items and of documents; where a
 hash of a document is one of an item's, the two are aligned and compared word by
 word, which tolerates substituted words.
@@ -18,16 +18,20 @@ from pyspark.sql import functions as F
 from phrasemine.llm.shipping import ship
 from phrasemine.llm.words import mix, slice_words, slices
 
-# Fixed masks of 12 word positions; each picks 8.
-MASKS = ("110110110011", "101101011011", "111010010111", "111111110000")
+# Fixed masks of at most SPAN word positions; each picks 7. Every beginning of a best stretch has more equal
+# words than twice its unequal ones, so its k-th unequal word has 3k words before it at least, and of its first
+# SPAN words LEAST_SAME or more are equal. In each such pattern one of the masks finds all its words equal.
+MASKS = ("111011101", "11101101001", "1111100101", "11110110001", "111101011", "111110000011", "111011000101")
 SPAN = 12
+LEAST_SAME = 9
+HITS = 1 << 18  # hits that are looked at together
 SHARD_CHARS = 4_000_000  # benchmark text that is indexed at a time
 FILTER_BITS = 24
 
 
 def masked(h: np.ndarray, mask: str) -> np.ndarray:
-    """Hash of the picked words of each window of SPAN words."""
-    n = max(0, len(h) - SPAN + 1)
+    """Hash of the picked words of each window of as many words as the mask has."""
+    n = max(0, len(h) - len(mask) + 1)
     out = np.full(n, len(mask), np.uint64)
     for k, bit in enumerate(mask):
         if bit == "1":
@@ -80,10 +84,10 @@ def build_index(ids: list, texts: pa.Array) -> dict:
     words, start = np.concatenate(words), np.array(start)
     sizes = np.diff(start)
     item = np.repeat(np.arange(len(ids)), sizes)
-    masks = []
+    masks, long = [], np.repeat(sizes >= SPAN, sizes)
     for mask in MASKS:
         h = masked(words, mask)
-        at = np.flatnonzero(item[: len(h)] == item[SPAN - 1 :][: len(h)])
+        at = np.flatnonzero((item[: len(h)] == item[len(mask) - 1 :][: len(h)]) & long[: len(h)])
         masks.append(table(h[at], at))
     exact = {}
     for n in np.unique(sizes[(sizes > 0) & (sizes < SPAN)]).tolist():
@@ -101,6 +105,22 @@ def best_run(same: np.ndarray, gap: int) -> tuple[int, int, int]:
     return int(same[first:end].sum()), first, end
 
 
+def promising(
+    index: dict, h: np.ndarray, word_at: np.ndarray, row_of: np.ndarray, place: np.ndarray, there: np.ndarray, span: int
+) -> np.ndarray:
+    """Whether a hit of a mask of ``span`` words lies in SPAN words of its row and item with LEAST_SAME equal."""
+    start, words = index["start"], index["words"]
+    row, item = row_of[place], index["item"][there]
+    before = np.minimum(place - word_at[row], there - start[item])
+    after = np.minimum(word_at[row + 1] - place, start[item + 1] - there)
+    out = np.zeros(len(place), bool)
+    for back in range(SPAN - span + 1):
+        k = np.flatnonzero((before >= back) & (after >= SPAN - back) & ~out)
+        steps = np.arange(-back, SPAN - back)
+        out[k] = (h[place[k, None] + steps] == words[there[k, None] + steps]).sum(1) >= LEAST_SAME
+    return out
+
+
 def overlaps(index: dict, data: np.ndarray, at: np.ndarray, least: int, gap: int) -> list[tuple]:
     """(row, item, matches, words, first word in the row, first word in the item) of verified overlaps."""
     h, word_at = slice_words(data, at)
@@ -110,7 +130,10 @@ def overlaps(index: dict, data: np.ndarray, at: np.ndarray, least: int, gap: int
         x = masked(h, mask)
         if len(x) and len(hashes[0]):
             place, there = find(*hashes, x)
-            found.append((place, there, np.full(len(place), SPAN)))
+            for k in range(0, len(place), HITS):
+                part = place[k : k + HITS], there[k : k + HITS]
+                good = promising(index, h, word_at, row_of, *part, len(mask))
+                found.append((part[0][good], part[1][good], np.full(int(good.sum()), SPAN)))
     for n, hashes in index["exact"].items():
         x = rolled(h, n)
         if len(x):
@@ -119,7 +142,8 @@ def overlaps(index: dict, data: np.ndarray, at: np.ndarray, least: int, gap: int
     if not found:
         return []
     place, there, span = (np.concatenate(x) for x in zip(*found, strict=True))
-    inside = row_of[place] == row_of[place + span - 1]
+    # Hits of masks were looked at; those of short items may reach into the next row.
+    inside = (span == SPAN) | (row_of[place] == row_of[np.minimum(place + span, len(h)) - 1])
     # Hits on one diagonal of a row and an item are one alignment.
     seen = np.unique(np.stack([row_of[place], index["item"][there], place - there, span < SPAN], 1)[inside], axis=0)
     out, start = [], index["start"]
@@ -151,8 +175,9 @@ def contamination(
     """``(doc_id, item_id, n_matched, n_words, first_word, item_word)``: overlaps of documents and items.
 
     An overlap is a stretch of at least ``least`` aligned words (or all of a
-    shorter item's) that one of the masks hits and that has the largest number
-    of equal words less ``gap`` times the unequal ones on its alignment. Of a document and
+    shorter item's) that has the largest number of equal words less ``gap`` times
+    the unequal ones on its alignment; the masks hit every such stretch if ``least``
+    is 12 or more and ``gap`` 2 or more, and smaller values are refused. Of a document and
     an item the overlap with the most equal words is returned, ties by place.
     An item of fewer than 12 words must occur whole and unchanged. Null and
     empty texts on either side overlap with nothing; repeated documents and
@@ -162,6 +187,8 @@ def contamination(
     tasks; documents stay where they are. A benchmark of many parts is a pass over
     the documents for each.
     """
+    if least < SPAN or gap < 2:
+        raise ValueError(f"overlaps of fewer than {SPAN} words, or with a gap below 2, could be missed")
     schema = "doc_id long, item_id long, n_matched int, n_words int, first_word int, item_word int"
     texts = docs.select("doc_id", "text")
     spark = docs.sparkSession
