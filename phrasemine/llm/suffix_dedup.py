@@ -7,11 +7,13 @@ windows lie side by side: they and what they cover are one context. One
 shuffle of hashes, without texts, drops owners that come once. Contexts that are
 equal as a whole are repeated in full. Different contexts of an owner are put into shards, whose suffix
 arrays (induced sorting) and permuted common prefixes tell which windows recur.
+An owner with more than a shard of different contexts (a common line in many
+surroundings) is not held in a task: its windows meet by a hash of their bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,30 +146,67 @@ def repeated_in_shards(texts: DataFrame, length: int) -> DataFrame:
 def cut_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``(owner, key, start, context)``: the bytes of the ``(key, owner, start, windows)`` in ``wanted``."""
 
+    def part(key: int, text: bytes, parts: list[dict]) -> pa.RecordBatch:
+        return pa.record_batch(
+            {
+                "owner": pa.array([p["owner"] for p in parts], pa.int64()),
+                "key": pa.array([key] * len(parts), pa.int64()),
+                "start": pa.array([p["start"] for p in parts], pa.int32()),
+                "context": pa.array([text[p["start"] : p["start"] + p["windows"] + length - 1] for p in parts], pa.binary()),
+            }
+        )
+
+    return from_texts(docs, wanted, length, part, "owner long, key long, start int, context binary")
+
+
+def hashed_windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """``(owner, window, key, start)``: a hash of each single window of the contexts in ``wanted``."""
+
+    def part(key: int, text: bytes, parts: list[dict]) -> pa.RecordBatch:
+        places = [(p["owner"], at) for p in parts for at in range(p["start"], p["start"] + p["windows"])]
+        view, digest = memoryview(text), xxhash.xxh3_64_intdigest
+        hashes = np.array([digest(view[at : at + length]) for _, at in places], np.uint64)
+        return pa.record_batch(
+            {
+                "owner": pa.array([o for o, _ in places], pa.int64()),
+                "window": pa.array(hashes.view(np.int64)),
+                "key": pa.array([key] * len(places), pa.int64()),
+                "start": pa.array([at for _, at in places], pa.int32()),
+            }
+        )
+
+    return from_texts(docs, wanted, length, part, "owner long, window long, key long, start int")
+
+
+def repeated_by_hash(windows: DataFrame) -> DataFrame:
+    """``(key, start, windows)`` of the windows whose hash comes again for their owner.
+
+    Counts are made in the tasks first and joined back, so that Spark can split a window that comes everywhere.
+    """
+    again = windows.groupBy("owner", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return windows.join(again, ["owner", "window"]).select("key", "start", F.lit(1).cast("short").alias("windows"))
+
+
+def from_texts(docs: DataFrame, wanted: DataFrame, length: int, part: Callable, schema: str) -> DataFrame:
+    """What ``part`` makes of each text's contexts in ``wanted``."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column("text"))
             for k, (key, parts) in enumerate(zip(batch.column("key"), batch.column("parts"), strict=True)):
                 text = data[at[k] : at[k + 1]].tobytes()
-                parts = parts.as_py()
-                yield pa.record_batch(
-                    {
-                        "owner": pa.array([p["owner"] for p in parts], pa.int64()),
-                        "key": pa.array([key.as_py()] * len(parts), pa.int64()),
-                        "start": pa.array([p["start"] for p in parts], pa.int32()),
-                        "context": pa.array(
-                            [text[p["start"] : p["start"] + p["windows"] + length - 1] for p in parts], pa.binary()
-                        ),
-                    }
-                )
+                yield part(key.as_py(), text, parts.as_py())
 
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("owner", "start", "windows")).alias("parts"))
     keyed = docs.select(row_key().alias("key"), "text").filter(F.octet_length("text") >= length)
-    return keyed.join(lists, "key").select("key", "text", "parts").mapInArrow(work, "owner long, key long, start int, context binary")
+    return keyed.join(lists, "key").select("key", "text", "parts").mapInArrow(work, schema)
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """``(key, spans)``: for documents with repeated windows, runs ``(start, windows)`` of their starts."""
+    """``(key, spans)``: for documents with repeated windows, runs ``(start, windows)`` of their starts.
+
+    An owner's contexts are sorted in one task if they have SHARD bytes at most.
+    """
     every = all_contexts(docs, length)
     order = Window.partitionBy("owner").orderBy("content")
     group = Window.partitionBy("owner")
@@ -181,8 +220,14 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     )
     marked = stage(marked.drop("content"), "marked")
     wanted = marked.filter("various and not same").select("key", "owner", "start", "windows")
-    found = repeated_in_shards(cut_contexts(docs, wanted, length), length)
+    # Owners with more than a shard of contexts; there are at most as many as there are shards in all.
+    large = wanted.groupBy("owner").agg(F.sum(F.col("windows") + F.lit(length - 1)).alias("n")).filter(F.col("n") > SHARD)
+    large = stage(large.select("owner"), "large")
+    found = repeated_in_shards(cut_contexts(docs, wanted.join(F.broadcast(large), "owner", "left_anti"), length), length)
     runs = marked.filter("twin").select("key", "start", "windows").unionAll(found)
+    if large.head(1):
+        windows = hashed_windows(docs, wanted.join(F.broadcast(large), "owner", "left_semi"), length)
+        runs = runs.unionAll(repeated_by_hash(stage(windows, "windows")))
     return runs.groupBy("key").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from phrasemine.llm import suffix_dedup as suffix_dedup_module
 from phrasemine.llm import suffixes
 from phrasemine.llm.suffix_dedup import suffix_dedup
 from phrasemine.llm.suffixes import common_prefixes, suffix_array
@@ -45,3 +46,28 @@ def test_text_of_what_is_kept(spark):
     found = {r.doc_id: r.kept for r in suffix_dedup(docs, as_text=True).collect()}
     assert found == {1: "ab", 2: "c", 3: "", 4: ""}
     assert suffix_dedup(docs.limit(0)).collect() == []
+
+
+def test_owners_of_many_contexts_are_not_held_in_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    some = lambda n: letters[rng.integers(0, len(letters), n)].tobytes().decode()
+    lines = [some(60), some(190), some(230)]
+    ends = [some(130) for _ in range(3)]
+    texts = [some(200) + lines[k % 3] + (ends[k % 4] if k % 4 < 3 else "") + some(k % 7 * 30) for k in range(90)]
+    rows = [(k, t) for k, t in enumerate([*texts, texts[5]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = []
+
+    def watched(texts, length, inner=suffix_dedup_module.repeated_in_shards):
+        held.extend(r[0] for r in texts.groupBy("owner").agg(F.sum(F.length("context"))).select("sum(length(context))").collect())
+        return inner(texts, length)
+
+    monkeypatch.setattr(suffix_dedup_module, "repeated_in_shards", watched)
+    for most in (3000, 1 << 30):
+        monkeypatch.setattr(suffix_dedup_module, "SHARD", most)
+        held.clear()
+        found = {r.doc_id: (r.n_bytes, bytes(r.kept), r.n_removed, r.n_spans) for r in suffix_dedup(docs).collect()}
+        assert found == dict(zip(range(len(rows)), repeated(rows, 200), strict=True))
+        assert held and max(held) <= most
+        assert most == 3000 or max(held) > 3000
