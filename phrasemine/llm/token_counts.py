@@ -107,7 +107,7 @@ class Rollup:
         )
 
 
-WORDS, RUNS = r"[^\x20\x09-\x0D]+", r"[0-9A-Za-z]+"
+PATTERNS = {"words": r"[^\x20\x09-\x0D]+", "runs": r"[0-9A-Za-z]+"}
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,21 +116,35 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     All documents come in with their words; those that are labelled as bad go; a
     second tokenizer version is added beside the first; and the counts of words are
     revised down where the second version finds fewer tokens. Texts are read once.
+    Each row counts, also if its id comes again; a row without an id has no label and stays.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
-    bad = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 0").select("doc_id").distinct()
-    tokenizers = {"words": F.regexp_count("text", F.lit(WORDS)), "runs": F.regexp_count("text", F.lit(RUNS))}
-    counts = stage(counted(docs, tokenizers), "counts", partition_by=["version"])
-    words, runs = (counts.filter(F.col("version") == v) for v in ("words", "runs"))
-    left, fewer = words.join(bad, "doc_id", "left_anti"), runs.join(bad, "doc_id", "left_anti")
-    both = left.join(fewer.select("doc_id", F.col("tokens").alias("found")), "doc_id").filter("found < tokens")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     store = Rollup(spark, f"{checkpoint_root(spark)}/phrasemine/{uuid.uuid4().hex}/rollup")
+    return rolled_up(store, docs, labels).totals()
+
+
+def rolled_up(store: Rollup, docs: DataFrame, labels: DataFrame) -> Rollup:
+    """The batches of ``op5_token_counts``, committed to ``store``."""
+    bad = labels.filter("quality = 0").select("doc_id").distinct()
+    # Both counts of a row stay in it, so that no join on ids has to find them again.
+    both = docs.select(
+        "doc_id", "source", "lang",
+        *[F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long").alias(v) for v, p in PATTERNS.items()],
+    )
+    both = stage(both, "counts")
+
+    def version(rows: DataFrame, name: str, tokens: str) -> DataFrame:
+        return rows.select("source", "lang", F.lit(name).alias("version"), F.col(tokens).alias("tokens"))
+
+    words, left = version(both, "words", "words"), both.join(bad, "doc_id", "left_anti")
+    fewer = left.filter("runs < words")
     store.commit("inserts", inserted(words))
-    store.commit("deletes", deleted(words.join(bad, "doc_id")))
+    store.commit("deletes", deleted(version(both.join(bad, "doc_id", "left_semi"), "words", "words")))
     store.commit("inserts", inserted(words))
-    store.commit("second version", inserted(fewer))
-    store.commit("revised", revised(both, both.withColumn("tokens", F.col("found"))))
-    return store.totals()
+    store.commit("second version", inserted(version(left, "runs", "runs")))
+    store.commit("revised", revised(version(fewer, "words", "words"), version(fewer, "words", "runs")))
+    return store
 
 
 OP5_SQL = r"""

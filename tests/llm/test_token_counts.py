@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from phrasemine.llm.token_counts import Rollup, counted, deleted, inserted, revised
+from phrasemine.llm.token_counts import Rollup, counted, deleted, inserted, op5_token_counts, revised
 from tests.llm.texts import SCHEMA, awkward, words
 
 COUNTS = "doc_id long, source string, lang string, version string, tokens long"
@@ -68,3 +68,13 @@ def test_counts_of_awkward_texts(spark):
     expected = Counter((r[0], r[3], r[2], "w", len(words(r[1]))) for r in rows)
     assert Counter(tuple(r) for r in got if r.version == "w") == expected
     assert {r.tokens for r in got if r.version == "none"} == {0}
+
+
+def test_repeated_rows_and_rows_without_id(spark, tmp_path):
+    rows = [(1, "a - b", "s", "en")] * 3 + [(None, "c ! d", "s", "en")] * 2 + [(2, "e", "s", "en")] * 2 + [(3, None, "s", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(2, 0), (2, 0), (None, 0), (1, 1)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    found = {r.version: (r.documents, r.tokens) for r in op5_token_counts(spark, str(tmp_path)).collect()}
+    assert found == {"words": (6, 10), "runs": (6, 10)}
