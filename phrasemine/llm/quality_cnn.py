@@ -29,11 +29,10 @@ class Training:
     """What a model is fitted on; these are the bounds of the sample.
 
     ``documents`` labelled texts at most are drawn in the order of a hash of their
-    id, and of each at most ``chars`` characters and ``halves`` half chunks, spread over them.
+    id, and of each at most ``halves`` half chunks, spread over the whole text.
     """
 
     documents: int = 4000
-    chars: int = 16384
     halves: int = 16
     steps: int = 640
     batch: int = 64
@@ -181,21 +180,25 @@ def gradients(model: dict, padded: np.ndarray, half_at: np.ndarray, y: np.ndarra
     }
 
 
-def fit(texts: list[bytes], y: np.ndarray, how: Training) -> dict:
-    """A model for the labels ``y`` (0 or 1) of ``texts``; without texts, an untrained one."""
+def spread(text: bytes, halves: int) -> np.ndarray:
+    """``halves`` half chunks in pairs, evenly spread over the whole text.
+
+    Short texts repeat their chunks, which changes none of the three reductions much.
+    """
+    full_halves = max(2, -(-(len(text) + STEP * (BLOCKS - 1)) // HALF))
+    full = np.zeros(full_halves * HALF, np.uint8)
+    full[: len(text)] = np.frombuffer(text, np.uint8)
+    pairs = np.linspace(0, full_halves - 2, halves // 2).round().astype(int)
+    return full.reshape(-1, HALF)[np.stack([pairs, pairs + 1], 1).ravel()].ravel()
+
+
+def fit(examples: list[bytes], y: np.ndarray, how: Training) -> dict:
+    """A model for the labels ``y`` (0 or 1) of ``examples``, each the ``spread`` of a text; without any, an untrained one."""
     model = new_model(how.seed)
-    if not len(texts):
+    if not len(examples):
         return model
     r = np.random.default_rng(how.seed)
-    rows = np.zeros((len(texts), how.halves * HALF), np.uint8)
-    for row, text in zip(rows, texts, strict=True):
-        b = np.frombuffer(text, np.uint8)
-        halves = max(2, -(-(len(b) + STEP * (BLOCKS - 1)) // HALF))
-        full = np.zeros(halves * HALF, np.uint8)
-        full[: len(b)] = b
-        # Short texts repeat their chunks, which changes none of the three reductions much.
-        pairs = np.linspace(0, halves - 2, how.halves // 2).round().astype(int)
-        row[:] = full.reshape(-1, HALF)[np.stack([pairs, pairs + 1], 1).ravel()].ravel()
+    rows = np.frombuffer(b"".join(examples), np.uint8).reshape(len(examples), how.halves * HALF)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
     half_at = np.arange(how.batch + 1) * how.halves
@@ -218,7 +221,7 @@ def fit(texts: list[bytes], y: np.ndarray, how: Training) -> dict:
 def training_rows(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[list[bytes], np.ndarray]:
     """The sample: at most ``how.documents`` labelled texts, chosen by a hash of their ids.
 
-    Ids are chosen first and alone, so that no text but the chosen ones moves.
+    Ids are chosen first and alone, and half chunks are picked in the tasks, so that no whole text moves.
     Rows without text or with a null label are no examples.
     """
     chosen = (
@@ -230,13 +233,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[li
     )
     found = (
         docs.filter("text is not null")
-        .select("doc_id", F.substring("text", 1, how.chars).alias("text"))
+        .select("doc_id", "text")
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-        .select("doc_id", "text", "quality")
-        .toPandas()
-        .sort_values(["doc_id", "text"])
+        .select("doc_id", "quality", "text")
     )
-    return [x.encode() for x in found["text"]], found["quality"].to_numpy(np.float32)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked = [spread(x.as_py().encode(), how.halves).tobytes() for x in batch.column("text")]
+            yield batch.drop_columns(["text"]).append_column("example", pa.array(picked, pa.binary()))
+
+    schema = found.select("doc_id", "quality", F.lit(b"").alias("example")).schema
+    examples = found.mapInArrow(pick, schema).toPandas().sort_values(["doc_id", "example"])
+    return [bytes(x) for x in examples["example"]], examples["quality"].to_numpy(np.float32)
 
 
 def held_out_column(doc_id: str = "doc_id"):

@@ -74,3 +74,12 @@ def test_without_labels_or_rows(labelled):
     docs, labels = labelled
     assert q.score_quality(docs, labels.limit(0)).count() == 403
     assert q.score_quality(docs.limit(0), labels, q.Training(steps=2)).collect() == []
+
+
+def test_examples_are_spread_over_the_whole_text(spark):
+    text = "a" * 30000 + "b" * 30000
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    examples, y = q.training_rows(docs, labels, q.Training())
+    assert y.tolist() == [0, 1] and {len(x) for x in examples} == {16 * q.HALF}
+    assert examples[0].count(b"a") == 8 * q.HALF and examples[0].count(b"b") > 6 * q.HALF
