@@ -10,6 +10,7 @@ from phrasemine.llm.ngram_join import op2_ngram_join
 from phrasemine.llm.quality_cnn import op4_quality
 from phrasemine.llm.suffix_dedup import op9_suffix_dedup
 from phrasemine.llm.token_counts import OP5_SQL, op5_token_counts
+from phrasemine.llm.token_files import op11_token_files
 from phrasemine.llm.url_filter import OP1_SQL, op1_url_filter
 from phrasemine.llm.vector_dedup import op3_vector_dedup
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
+    "op11_token_files": op11_token_files,
 }
 
 SQL = {
