@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
+from types import ModuleType
 
 from pyspark import cloudpickle
 
@@ -12,4 +14,12 @@ def ship(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
+def worker_wide(key: tuple, make: Callable):
+    """What ``make()`` gave for ``key`` when this Python process first asked, so that a later task of a reused worker has it too."""
+    kept = vars(sys.modules.setdefault("_phrasemine_worker", ModuleType("_phrasemine_worker")))
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 ship(__name__)

@@ -15,9 +15,11 @@ Both are Parquet, so that Spark writes and commits them on whatever store the fo
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasemine.llm import huffman
-from phrasemine.llm.shipping import ship
+from phrasemine.llm.shipping import ship, worker_wide
 from phrasemine.llm.words import slices
 from phrasemine.plans.stage import checkpoint_root, stage
 
@@ -35,9 +37,12 @@ VOCABULARY = "word_bpe_49k.json"
 END = 2
 BLOCK = 1 << 18  # ids after which a block is closed
 PART = 1 << 26  # ids of a part, about, where there are more of them than shuffle partitions
-CACHED = 1 << 19  # pieces whose ids a task keeps
+CACHED = 1 << 20  # pieces whose ids a Python worker keeps, some 150 bytes each
 LONG = 64  # characters beyond which a piece is not kept
 MARK = "\x01"
+ENDS = frozenset(".,;:!?")
+PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+COMBINING = re.compile("[\u0300-\u036f]")
 
 
 def tokenizer(path: str):
@@ -50,12 +55,17 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def small(text: str) -> str:
+    """The text with a-z for A-Z, unless such a letter could first become one letter with a mark that follows it."""
+    return text if COMBINING.search(text) else text.encode().lower().decode()
+
+
 class Pieces:
     """Ids of texts by the ids of their pieces between blanks.
 
-    For tokenizers that drop white space and whose added tokens contain ``<|``: no token or
-    normalisation then reaches over a blank, and each different piece is encoded once. New pieces
-    are encoded as one text, with a mark between them that has an id of its own; what
+    For tokenizers that drop white space, do not tell capitals from small letters and whose added tokens
+    contain ``<|``: no token or normalisation then reaches over a blank, and each different piece is encoded
+    once. New pieces are encoded as one text, with a mark between them that has an id of its own; what
     has the mark or ``<|`` in it is encoded as it is.
     """
 
@@ -71,21 +81,24 @@ class Pieces:
         kept = self.kept
         if len(kept) > CACHED:
             kept.clear()
-        split = [None if "<|" in t or MARK in t else t.replace("\n", " ").split(" ") for t in texts]
-        new = list({p for pieces in split if pieces for p in pieces if p not in kept})
-        if new:
-            ids = self.whole(f" {MARK} ".join(new))
+        split = [None if "<|" in t or MARK in t else small(t).replace("\n", " ").split(" ") for t in texts]
+        new = set(chain.from_iterable(p for p in split if p)).difference(kept)
+        # A word and the one sign at its end are two tokens or more, whatever stands before.
+        apart = [p for p in new if len(p) > 1 and p[-1] in ENDS and p[-2] in PLAIN]
+        alone = list(new.difference(apart).union(ENDS, (p[:-1] for p in apart)).difference(kept))
+        if alone:
+            ids = self.whole(f" {MARK} ".join(alone))
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
             starts = np.append(0, ends[:-1] + 4)
             raw = ids.tobytes()
-            kept.update((p, raw[a:b]) for p, a, b in zip(new, starts.tolist(), ends.tolist(), strict=True))
+            kept.update((p, raw[a:b]) for p, a, b in zip(alone, starts.tolist(), ends.tolist(), strict=True))
+        kept.update((p, kept[p[:-1]] + kept[p[-1]]) for p in apart)
         out = [
-            self.whole(t) if pieces is None else np.frombuffer(b"".join([kept[p] for p in pieces]), np.uint32)
+            self.whole(t) if pieces is None else np.frombuffer(b"".join(map(kept.__getitem__, pieces)), np.uint32)
             for t, pieces in zip(texts, split, strict=True)
         ]
-        for p in new:
-            if len(p) > LONG:
-                del kept[p]
+        for p in [p for p in chain(alone, apart) if len(p) > LONG]:
+            kept.pop(p, None)
         return out
 
 
@@ -107,7 +120,8 @@ def tokenized(docs: DataFrame, path: str, end: int | None = END, encoder: type =
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = encoder(path), zstandard.ZstdCompressor(1)
+        encode = worker_wide((encoder.__name__, path), lambda: encoder(path))
+        pack = zstandard.ZstdCompressor(level=1)
         row = TaskContext.get().partitionId() << 33
         last = np.array([] if end is None else [end], np.uint32)
         for batch in batches:
