@@ -114,9 +114,10 @@ class Whole:
 
 
 def tokenized(docs: DataFrame, path: str, end: int | None = END, encoder: type = Pieces) -> DataFrame:
-    """``(doc_id, row, tie, n, ids)``: the ids of each text, as compressed 32-bit integers.
+    """``(doc_id, row, tie, ids, counts)``: the ids of each text, as compressed 32-bit integers.
 
-    ``row`` numbers the rows and ``tie`` is a hash of the ids; both order documents of one doc_id.
+    ``row`` numbers the rows and ``tie`` is a hash of the ids; both order documents of one doc_id. The last row
+    of a task is no document: it has no ``ids``, and in ``counts`` how often the task met each id.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,24 +125,35 @@ def tokenized(docs: DataFrame, path: str, end: int | None = END, encoder: type =
         pack = zstandard.ZstdCompressor(level=1)
         row = TaskContext.get().partitionId() << 33
         last = np.array([] if end is None else [end], np.uint32)
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for first, data, at in slices(batch.column("text")):
                 raw = data.tobytes()
                 texts = [raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 ids = [np.append(x, last) for x in encode(texts)]
                 own = batch.column("doc_id").slice(first, len(texts))
+                found = np.bincount(np.concatenate(ids), minlength=len(total))
+                found[: len(total)] += total
+                total = found
                 yield pa.record_batch(
                     {
                         "doc_id": own.cast(pa.int64()),
                         "row": pa.array(range(row, row + len(texts)), pa.int64()),
                         "tie": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                        "n": pa.array([len(x) for x in ids], pa.int64()),
                         "ids": pa.array([pack.compress(columns_of(x)) for x in ids], pa.binary()),
+                        "counts": pa.nulls(len(texts), counts),
                     }
                 )
                 row += len(texts)
+        used = np.flatnonzero(total)
+        pairs = list(zip(used.tolist(), total[used].tolist(), strict=True))
+        none = {c: pa.nulls(1, t) for c, t in zip(("doc_id", "row", "tie", "ids"), (pa.int64(),) * 3 + (pa.binary(),), strict=True)}
+        yield pa.record_batch(none | {"counts": pa.array([pairs], counts)})
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, row long, tie long, n long, ids binary")
+    counts = pa.map_(pa.int32(), pa.int64())
+    return docs.select("doc_id", "text").mapInArrow(
+        work, "doc_id long, row long, tie long, ids binary, counts map<int,bigint>"
+    )
 
 
 def columns_of(ids: np.ndarray) -> bytes:
@@ -155,19 +167,8 @@ def ids_of(payload: bytes) -> np.ndarray:
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
-    """``(id, n)``: how often each id occurs; one row a task and id before the sums."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for payload in batch.column("ids").to_pylist():
-                found = np.bincount(ids_of(payload), minlength=len(total))
-                found[: len(total)] += total
-                total = found
-        used = np.flatnonzero(total)
-        yield pa.record_batch({"id": pa.array(used), "n": pa.array(total[used])})
-
-    return tokens.select("ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    """``(id, n)``: how often each id occurs; a task has a row for each of its ids before the sums."""
+    return tokens.select(F.explode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(
@@ -192,7 +193,7 @@ def write_ids(
     spark.createDataFrame(code, "id int, bits int").coalesce(1).write.parquet(f"{folder}/code")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // PART))
     order = (F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("row"))
-    ordered = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = tokens.filter("ids is not null").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered.select("doc_id", "ids").mapInArrow(blocks_of(lengths), BLOCKS).write.parquet(f"{folder}/blocks")
 
 
