@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from phrasemine.llm.decontaminate import op7_decontamination
+from phrasemine.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from phrasemine.llm.license_scan import op6_licenses
 from phrasemine.llm.lm_score import op8_lm_score
 from phrasemine.llm.mixing import OP10_SQL, op10_mixing
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
     "op11_token_files": op11_token_files,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 SQL = {
     "op1_url_filter": OP1_SQL,
     "op5_token_counts": OP5_SQL,
     "op10_mixing": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
