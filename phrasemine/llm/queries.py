@@ -9,6 +9,7 @@ from phrasemine.llm.lm_score import op8_lm_score
 from phrasemine.llm.mixing import OP10_SQL, op10_mixing
 from phrasemine.llm.ngram_join import op2_ngram_join
 from phrasemine.llm.quality_cnn import op4_quality
+from phrasemine.llm.spelling import OP13_SQL, op13_spelling
 from phrasemine.llm.suffix_dedup import op9_suffix_dedup
 from phrasemine.llm.token_counts import OP5_SQL, op5_token_counts
 from phrasemine.llm.token_files import op11_token_files
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_token_files": op11_token_files,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_spelling": op13_spelling,
 }
 
 SQL = {
@@ -35,4 +37,5 @@ SQL = {
     "op5_token_counts": OP5_SQL,
     "op10_mixing": OP10_SQL,
     "op12_hard_negatives": OP12_SQL,
+    "op13_spelling": OP13_SQL,
 }
