@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from phrasemine.operators.translation import select_candidates
 from phrasemine.plans import stage as stage_module
 from phrasemine.plans.table_queries import QUERIES
 from phrasemine.session import INPUT_PARTITIONS
@@ -31,8 +32,10 @@ def test_no_pairwise_joins_and_no_python(planned, name):
         assert banned not in text
 
 
-def test_best_candidates_are_cut_before_the_shuffle(planned):
-    assert planned["top_translations"].count("WindowGroupLimit") >= 2
+def test_best_candidates_are_cut_before_the_shuffle(spark):
+    """The ranking is staged before it is named, so it has a plan of its own."""
+    scored = spark.createDataFrame([(1, 2, 0.5)], "chunk_id long, dst_id long, score double")
+    assert plan(select_candidates(scored)).count("WindowGroupLimit") >= 2
 
 
 def test_scan_reads_only_the_text(planned):
