@@ -179,6 +179,17 @@ def best(order: str, top_k: int, match: str = "substring") -> str:
     WHERE found > 5 AND rank <= {top_k}"""
 
 
+def fixed(x: str, digits: int = 6) -> str:
+    """A score with a fixed number of decimals, by double-precision arithmetic alone."""
+    whole, unit = f"floor(abs({x}))", 10**digits
+    part = f"CAST(floor((abs({x}) - {whole}) * {unit}e0 + 5e-1) AS BIGINT)"
+    return (
+        f"CASE WHEN {x} < 0 THEN '-' ELSE '' END"
+        f" || CAST(CAST({whole} AS BIGINT) + CASE WHEN {part} >= {unit} THEN 1 ELSE 0 END AS VARCHAR)"
+        f" || '.' || lpad(CAST({part} % {unit} AS VARCHAR), {digits}, '0')"
+    )
+
+
 def gapped(words_: int) -> list[Shape]:
     return [s for s in chunk_shapes(words_, MAX_GAP) if s.words == words_ and s.gap]
 
@@ -193,6 +204,8 @@ def oracle_sql() -> dict[str, str]:
         "corpus_lines": documents,
         "parallel_parse": f"SELECT value, {fields}[1] AS dst, {fields}[2] AS src FROM ({MIXED}) WHERE len({fields}) >= 2",
         "parallel_rejects": f"SELECT value FROM ({MIXED}) WHERE len({fields}) < 2",
+        "parallel_line_counts": f"""SELECT count(*) AS lines, CAST(count_if(len({fields}) >= 2) AS BIGINT) AS accepted,
+            CAST(count_if(len({fields}) < 2) AS BIGINT) AS rejected FROM ({MIXED})""",
         "corpus_size": f"SELECT count(*) AS lines FROM ({documents})",
         "tokenize": f"""SELECT line, CAST(len({tokens}) AS INTEGER) AS n_tokens,
             coalesce(array_to_string({tokens}, chr(10)), '') AS tokens FROM ({documents})""",
@@ -237,6 +250,13 @@ def oracle_sql() -> dict[str, str]:
         "top_translations": best("DESC", 5),
         "top_translations_token": best("DESC", 5, "token"),
         "weakest_translations": best("ASC", 3),
+        "render_chunks": f"SELECT '[' || text || '@' || type || '@' || {fixed('chi2')} || ']' AS line FROM ({kept(documents)})",
+        "render_groups": f"""SELECT '[' || string_agg(text || '@' || {fixed('chi2')} || '@' || level || '@' ||
+                CASE level WHEN 1 THEN CAST(type AS VARCHAR) ELSE types END, ', ' ORDER BY level, type) || ']' AS line
+            FROM ({groups(documents, having="chi2 < 6.63")}) GROUP BY text""",
+        "render_translations": f"""SELECT '(' || text || '@' || type || '@' || {fixed('chunk_chi2')} || ',' || string_agg(
+                '(' || dst_text || '@' || dst_type || ',' || {fixed('score')} || ')', ',' ORDER BY rank) || ')' AS line
+            FROM ({best("DESC", 5)}) GROUP BY text, type, chunk_chi2""",
         "parsed_chunks": f"SELECT text, type, chi2 FROM ({kept(documents)})",
         "parsed_groups": f"""SELECT text, level, CASE level WHEN 1 THEN CAST(type AS VARCHAR) ELSE types END AS member, chi2
             FROM ({groups(documents, having="chi2 < 6.63")})""",

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # A key with more than this share of the total weight counts as frequent. At
 # most 1 / FREQUENT_SHARE keys can, however large the data: that is the bound
@@ -39,9 +40,10 @@ def attach(
     is cheap to make.
 
     Facts with a frequent key find their row in a broadcast of those keys, and
-    go on under a random-looking salt that nothing matches, evenly over all
-    tasks. The others meet the table in a shuffled join in which no key can own
-    more than ``FREQUENT_SHARE`` of the rows. Both joins are exact.
+    go on under random-looking keys that the table does not have (negative numbers, or texts that
+    begin with a line feed), evenly over all tasks. The others meet the table in a shuffled join in which no key can own
+    more than ``FREQUENT_SHARE`` of the rows. Both joins are exact. The second is on the given
+    columns alone, so a table staged by them is not moved for it.
 
     Frequent keys that the table does not have would all meet in one task. With
     ``inner``, ``universe`` may give the weight of every key that facts can have, under the
@@ -66,15 +68,18 @@ def attach(
         facts = facts.join(F.broadcast(absent), matches("hot"), "left_anti")
 
     hot = side(frequent(table, weight), "hot", [F.lit(True).alias("__hot")])
-    # Always 0, but not a literal: a literal would be folded out of the join keys
-    # and the salt with it.
-    no_salt = F.least(F.col(weight), F.lit(0)).cast("int").alias("__none")
-    cold = side(table, "cold", [F.lit(True).alias("__cold"), no_salt])
+    cold = side(table, "cold", [F.lit(True).alias("__cold")])
     salt = F.pmod(F.xxhash64(*facts.columns), F.lit(SPREAD)).cast("int") + 1
+    key, *others = on
+    kind = facts.schema[key].dataType
+    nowhere = F.concat(F.lit("\n"), salt.cast("string")) if isinstance(kind, StringType) else (-salt).cast(kind)
+    condition = F.col("__key") == F.col("cold" + names[on[key]])
+    for other in others:
+        condition = condition & (F.col(other) == F.col("cold" + names[on[other]]))
     joined = (
         facts.join(F.broadcast(hot), matches("hot"), "left")
-        .withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(0))
-        .join(cold, matches("cold") & (F.col("__salt") == F.col("__none")), "left")
+        .withColumn("__key", F.when(F.col("__hot"), nowhere).otherwise(F.col(key)))
+        .join(cold, condition, "left")
     )
     if inner:
         joined = joined.filter(F.col("__hot") | F.col("__cold"))

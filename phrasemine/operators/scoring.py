@@ -17,6 +17,7 @@ from phrasemine.functions.text import (
 )
 from phrasemine.operators.chunks import multi_word
 from phrasemine.operators.lookup import attach
+from phrasemine.plans.stage import stage_by_key
 from phrasemine.shapes import constituent_codes
 
 # Fixed value: chunks that score below this are kept.
@@ -49,6 +50,17 @@ def settle(df: DataFrame, cells: Mapping[str, Column], keep: Sequence[str]) -> D
     return df.select(*keep, F.inline(F.array(row)).alias(*cells))
 
 
+def stage_halves(counts: DataFrame, max_words: int = 2) -> DataFrame:
+    """``(text, n)`` of the words and contiguous chunks that can be halves, staged by text.
+
+    Their texts tell their types: as many words as spaces and one. Both lookups read the table
+    where it lies; only the chunks move.
+    """
+    halves = counts.filter(F.col("type").isin(constituent_codes(max_words))).select("text", "n")
+    buckets = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage_by_key(halves.repartition(buckets, "text"), "halves", ["text"])
+
+
 def contingency(
     counts: DataFrame, lines: Column, max_words: int = 2, chunks: DataFrame | None = None
 ) -> DataFrame:
@@ -58,11 +70,11 @@ def contingency(
     counted is worth 0. The number of times a half occurs bounds the chunks it
     is a half of, so it is the weight of its key in the lookups.
     """
-    halves = counts.filter(F.col("type").isin(constituent_codes(max_words)))
     cut = constituents(multi_word(counts) if chunks is None else chunks)
+    halves = stage_halves(counts, max_words)
     for side in ("left", "right"):
-        on = {f"{side}_text": "text", f"{side}_type": "type"}
-        cut = attach(cut, halves, on, {"n": f"{side}_n"}, weight="n").drop(*on)
+        on = {f"{side}_text": "text"}
+        cut = attach(cut, halves, on, {"n": f"{side}_n"}, weight="n").drop(*on, f"{side}_type")
     cells = clamped_cells(
         F.col("n"),
         F.coalesce("left_n", F.lit(0)),

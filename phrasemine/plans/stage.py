@@ -38,6 +38,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return local_root()
 
 
+def stage_by_key(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Write ``df`` once, in as many buckets of ``keys`` as there are shuffle partitions, and return the written table.
+
+    Joins and groupings on exactly these columns read it where it lies, without an
+    exchange. Its name is known to this session alone; the files are in the shared folder.
+    """
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    path = f"{checkpoint_root(spark)}/phrasemine/{mark}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(f"phrasemine_{name}_{mark}")
+    return spark.table(f"phrasemine_{name}_{mark}").select(*df.columns)
+
+
 def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from phrasemine.functions.association import chi_square
@@ -16,6 +16,7 @@ from phrasemine.functions.text import tokenize
 from phrasemine.operators import chunks as chunk_ops
 from phrasemine.operators import groups, matching, scoring, translation
 from phrasemine.plans import mining
+from phrasemine.plans.stage import stage
 from phrasemine.shapes import MAX_GAP, MAX_WORDS, Shape, chunk_shapes
 from phrasemine.sinks import text as sinks
 from phrasemine.sources import parallel
@@ -31,6 +32,8 @@ LINE_KEY = ["conv_id", "turn"]
 CHUNK = ["text", "type"]
 TARGET = ["dst_text", "dst_type"]
 CELLS = list(scoring.CELLS)
+# Decimals of the scores in the printed forms.
+DIGITS = 6
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +50,16 @@ def parallel_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return parallel.rejected_lines(mixed_text(spark, folder))
 
 
+def parallel_line_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Accepted and rejected lines, counted in the scan that writes the accepted ones."""
+    seen = Observation()
+    accepted = stage(parallel.parse_observed(mixed_text(spark, folder), seen), "parallel")
+    counts = seen.get
+    return accepted.agg(F.count(F.lit(1)).alias("accepted")).select(
+        F.lit(counts["lines"]).cast("long").alias("lines"), "accepted", F.lit(counts["rejected"]).cast("long").alias("rejected")
+    )
+
+
 def corpus_size_query(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_size(document_lines(spark, folder))
 
@@ -219,33 +232,35 @@ def weakest_translations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def render_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return sinks.render_chunks(mining.mine_chunks(document_lines(spark, folder)))
+    return sinks.render_chunks(mining.mine_chunks(document_lines(spark, folder)), DIGITS)
 
 
-def parsed_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return sinks.parse_chunks(render_chunks(spark, folder))
+def render_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.render_groups(mining.mine_groups(document_lines(spark, folder)), DIGITS)
 
 
-def parsed_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return sinks.parse_groups(render_groups(spark, folder))
+def render_translations(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.render_translations(_translations(spark, folder), digits=DIGITS)
 
 
-def parsed_translations(spark: SparkSession, folder: str) -> DataFrame:
-    return sinks.parse_translations(render_translations(spark, folder))
+def parsed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks read back from the form that loses no digit; so are groups and translations."""
+    return sinks.parse_chunks(sinks.render_chunks(mining.mine_chunks(document_lines(spark, folder))))
 
 
-def render_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return sinks.render_groups(mining.mine_groups(document_lines(spark, folder)))
+def parsed_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.parse_groups(sinks.render_groups(mining.mine_groups(document_lines(spark, folder))))
 
 
-def render_translations(spark: SparkSession, folder: str) -> DataFrame:
-    return sinks.render_translations(_translations(spark, folder))
+def parsed_translations(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.parse_translations(sinks.render_translations(_translations(spark, folder)))
 
 
 QUERIES: dict[str, Query] = {
     "corpus_lines": corpus_lines,
     "parallel_parse": parallel_parse,
     "parallel_rejects": parallel_rejects,
+    "parallel_line_counts": parallel_line_counts,
     "corpus_size": corpus_size_query,
     "tokenize": tokenize_query,
     "unigram_counts": _counted([Shape(1)]),

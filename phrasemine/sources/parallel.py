@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 DELIMITER = "|"
@@ -46,6 +46,18 @@ def parse_parallel(
     )
 
 
+def parse_observed(raw: DataFrame, seen: Observation, delimiter: str = DELIMITER) -> DataFrame:
+    """``parse_parallel`` that counts while it reads.
+
+    After the first action on the result, ``seen.get`` has ``lines``, ``accepted`` and ``rejected``; no
+    second scan is needed to know how many lines were set aside. A null value is rejected.
+    """
+    complete = F.coalesce(F.size(_fields(delimiter)) >= 2, F.lit(False))
+    counts = {"lines": F.lit(True), "accepted": complete, "rejected": ~complete}
+    observed = raw.observe(seen, *[F.count_if(c).alias(name) for name, c in counts.items()])
+    return parse_parallel(observed, delimiter)
+
+
 def rejected_lines(raw: DataFrame, delimiter: str = DELIMITER) -> DataFrame:
     """Lines that ``parse_parallel`` leaves out."""
     return raw.filter(F.size(_fields(delimiter)) < 2)

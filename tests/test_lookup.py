@@ -3,7 +3,9 @@ import random
 from pyspark.sql import functions as F
 
 from phrasemine.operators import lookup
+from phrasemine.operators.chunks import line_total, stage_counts
 from phrasemine.operators.lookup import attach, frequent
+from phrasemine.operators.scoring import contingency
 
 
 def frames(spark):
@@ -83,3 +85,34 @@ def test_frequent_keys_that_are_absent_go_before_the_shuffle(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in text and text.index("LeftAnti") > 0
+
+
+def test_halves_are_read_where_they_lie(spark):
+    """Neither lookup moves the staged table: each exchange by text is of the chunks."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = spark.createDataFrame([("a b c a b d",), ("b c",)], "line string")
+        counts = stage_counts(lines)
+        plan = contingency(counts, line_total(counts))._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    joins = []
+
+    def walk(node):
+        if node.nodeName() == "SortMergeJoin":
+            joins.append([side(node.children().apply(k)) for k in range(2)])
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    def side(node):
+        """Whether rows come from an exchange or straight from a scan."""
+        while node.children().size() == 1 and "Exchange" not in node.nodeName():
+            node = node.children().apply(0)
+        return node.nodeName().split(" ")[0]
+
+    walk(plan)
+    assert len(joins) == 2
+    assert all("Exchange" in facts and table.startswith("Scan") for facts, table in joins)

@@ -1,8 +1,9 @@
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Observation
 
 from phrasemine.sources.lines import corpus_size, lines_of, read_lines
-from phrasemine.sources.parallel import parse_parallel, read_parallel, rejected_lines
+from phrasemine.sources.parallel import parse_observed, parse_parallel, read_parallel, rejected_lines
 
 RAW = ["dst words|src words", "no pipe here", "", "dst|", "|src", "d|s|extra", "d||x", "||", "a||"]
 
@@ -55,3 +56,20 @@ def test_files(spark, tmp_path):
 def test_lines_of_a_column(spark):
     texts = spark.createDataFrame([("a\n\nb\n",), ("",)], "text string")
     assert sorted(r.line for r in lines_of(texts).collect()) == ["", "", "", "a", "b"]
+
+
+def test_one_scan_gives_the_accepted_lines_and_the_counts(spark, tmp_path):
+    (tmp_path / "lines.txt").write_text("a|b\nno field\n|c\nd|\n\ne|f|g\n")
+    seen = Observation()
+    accepted = parse_observed(spark.read.text(str(tmp_path)), seen)
+    assert accepted._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    rows = [(r.dst, r.src) for r in accepted.collect()]
+    assert rows == [("a", "b"), ("", "c"), ("e", "f")]
+    assert seen.get == {"lines": 6, "accepted": 3, "rejected": 3}
+
+
+def test_nulls_are_rejected_and_counted(spark):
+    seen = Observation()
+    raw = spark.createDataFrame([(None,), ("a|b",)], "value string")
+    assert parse_observed(raw, seen).count() == 1
+    assert seen.get == {"lines": 2, "accepted": 1, "rejected": 1}

@@ -1,3 +1,7 @@
+import duckdb
+from pyspark.sql import functions as F
+
+import oracle
 from phrasemine.plans.mining import mine_chunks, mine_groups, mine_translations
 from phrasemine.sinks.text import (
     parse_chunks,
@@ -5,6 +9,7 @@ from phrasemine.sinks.text import (
     parse_translations,
     render_chunks,
     render_groups,
+    printed,
     render_translations,
     write_lines,
 )
@@ -73,3 +78,23 @@ def test_translations(make_lines, make_pairs):
         f"(a b@200@{FOUR_NINTHS},(q r@200,{third}),(p r@210,{third}),(p q@200,{third}),"
         f"(zz yy@200,{FOUR_NINTHS}),(x q@200,{FOUR_NINTHS}))"
     )
+
+
+def test_scores_with_a_fixed_number_of_digits(spark):
+    values = [0.0, 0.5, 1.25, -1.25, 6.6299995, 0.9999999, -0.0000004, 123456789.123, 2.0**53, float("nan"), float("-inf"), None]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double")
+    found = [r.p for r in rows.select("k", printed(F.col("x"), 6).alias("p")).orderBy("k").collect()]
+    assert found == [
+        "0.000000", "0.500000", "1.250000", "-1.250000", "6.630000", "1.000000", "-0.000000", "123456789.123000",
+        "9.007199254740992E15", "NaN", "-Infinity", None,
+    ]
+    base = duckdb.connect()
+    for v in values[:8]:
+        assert base.execute(f"SELECT {oracle.fixed('x')} FROM (SELECT CAST(? AS DOUBLE) AS x)", [v]).fetchone()[0] in found
+
+
+def test_forms_with_digits_are_read_back(spark):
+    scored = spark.createDataFrame([("a@ b", 200, 1.23456789)], "text string, type int, chi2 double")
+    (line,) = [r.line for r in render_chunks(scored, 3).collect()]
+    assert line == "[a@ b@200@1.235]"
+    assert tuple(parse_chunks(render_chunks(scored, 3)).first()) == ("a@ b", 200, 1.235)
