@@ -9,24 +9,24 @@ Texts are encoded once, in blocks of some megabytes with a dictionary of their
 own. Blocks send their distinct words, and then their distinct pairs, to buckets by hash;
 each bucket sums over the corpus and answers every block with the sums of
 what it sent. So all counts cover the whole corpus, what is shuffled grows with the text
-and not with repetition inside a block, and no table is broadcast.
+and not with repetition inside a block, and no table is broadcast. Blocks are staged by their number and stay
+where they lie; only messages and answers are shuffled.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phrasemine.llm.packing import pack, unpack
 from phrasemine.llm.shipping import ship
 from phrasemine.llm.words import mix, slice_words, slices
-from phrasemine.plans.stage import stage
+from phrasemine.plans.stage import stage, stage_by_key
 
 BLOCK = 8 << 20  # bytes of text in a block
 START, END = np.uint64(1), np.uint64(2)  # in place of a word's hash
@@ -38,14 +38,6 @@ SUMS = 8
 MESSAGE = "kind int, part int, block long, payload binary"
 
 
-def pack(**arrays) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, protocol=5), 3)
-
-
-def unpack(payload: bytes) -> dict:
-    return pickle.loads(zstandard.decompress(payload))
-
-
 def message(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
     columns = list(zip(*rows, strict=True)) if rows else [()] * 4
@@ -111,10 +103,9 @@ def split_sorted(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_messages(block: int, b: dict, parts: int) -> Iterator[tuple]:
-    """A block's distinct words and how often they occur in training; the start counts its training documents."""
+    """A block's distinct words and how often they occur in training."""
     train = np.repeat(~b["out"], b["sizes"])
     count = np.bincount(b["tokens"][train], minlength=len(b["words"]))
-    yield (3, 0, block, pack(words=np.array([START]), count=np.array([(~b["out"]).sum()])))
     at, bounds = split_sorted(b["words"], parts)
     for p in np.unique(at).tolist():
         own = slice(bounds[p], bounds[p + 1])
@@ -163,22 +154,30 @@ def sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, rows in grouped(batches, "part"):
         sent = [unpack(r[3]) for r in rows]
         words, total, answers = summed([s["words"] for s in sent], [s["count"] for s in sent])
-        real = words != START
-        yield message([(9, part, -1, pack(n=int(total[real].sum()), v=int((total[real] > 0).sum())))])
+        yield message([(9, part, -1, pack(n=int(total.sum()), v=int((total > 0).sum())))])
         yield message([(r[0], part, r[2], pack(count=small(a))) for r, a in zip(rows, answers, strict=True)])
 
 
-def with_counts(rows: list[tuple], parts: int) -> tuple[dict, np.ndarray, int]:
-    """A block, the corpus counts of its words, and that of the start, from its messages."""
+def with_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Each block with its own payload, as kind 0, and the answers to it."""
+    for batch in batches:
+        for block, payload, answers in zip(*(batch.column(c) for c in ("block", "payload", "answers")), strict=True):
+            number = block.as_py()
+            yield number, [
+                (0, 0, number, payload.as_py()),
+                *((a["kind"], a["part"], number, a["payload"]) for a in answers.as_py() or ()),
+            ]
+
+
+def with_counts(rows: list[tuple], parts: int) -> tuple[dict, np.ndarray]:
+    """A block and the corpus counts of its words, from its messages."""
     block = unpack(next(r[3] for r in rows if r[0] == 0))
-    count, starts = np.zeros(len(block["words"]), np.int64), 0
+    count = np.zeros(len(block["words"]), np.int64)
     _, bounds = split_sorted(block["words"], parts)
     for kind, part, _, payload in rows:
         if kind == 1:
             count[bounds[part] : bounds[part + 1]] = unpack(payload)["count"]
-        elif kind == 3:
-            starts = int(unpack(payload)["count"][0])
-    return block, count, starts
+    return block, count
 
 
 def pairs_of(b: dict, count: np.ndarray, starts: int) -> tuple[np.ndarray, ...]:
@@ -194,8 +193,8 @@ def pairs_of(b: dict, count: np.ndarray, starts: int) -> tuple[np.ndarray, ...]:
     return keys & ~np.uint64(0xFFFF), counts[b["tokens"]], counts[before]
 
 
-def pair_messages(block: int, rows: list[tuple], parts: int) -> Iterator[tuple]:
-    b, count, starts = with_counts(rows, parts)
+def pair_messages(block: int, rows: list[tuple], parts: int, starts: int) -> Iterator[tuple]:
+    b, count = with_counts(rows, parts)
     keys, own, context = pairs_of(b, count, starts)
     distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
     train = np.repeat(~b["out"], b["sizes"])
@@ -277,8 +276,8 @@ RESULT = (
 )
 
 
-def scores(rows: list[tuple], weights: np.ndarray, n: int, v: int, parts: int) -> pa.RecordBatch:
-    b, count, starts = with_counts(rows, parts)
+def scores(rows: list[tuple], weights: np.ndarray, n: int, v: int, parts: int, starts: int) -> pa.RecordBatch:
+    b, count = with_counts(rows, parts)
     keys, own, context = pairs_of(b, count, starts)
     distinct, place = np.unique(keys, return_inverse=True)
     at, bounds = split_sorted(distinct, parts)
@@ -317,23 +316,28 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     ready = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    blocks = stage(encode(ready), "blocks")
+    blocks = stage_by_key(encode(ready).select("block", "payload"), "blocks", ["block"])
+    starts = ready.filter(~F.col("held_out")).count()
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(2 * shuffled, blocks.count() // 32)
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, block, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield message(list(word_messages(block, unpack(payload), parts)))
 
     def to_buckets(rows: DataFrame) -> DataFrame:
         return rows.repartition("part").sortWithinPartitions("part")
 
     def to_blocks(*tables: DataFrame) -> DataFrame:
-        every = blocks
-        for t in tables:
-            every = every.unionAll(t.filter("block >= 0"))
-        return every.repartition("block").sortWithinPartitions("block", "kind", "part")
+        answers = tables[0].filter("block >= 0")
+        for t in tables[1:]:
+            answers = answers.unionAll(t.filter("block >= 0"))
+        found = answers.groupBy(F.col("block").alias("__block")).agg(
+            F.collect_list(F.struct("kind", "part", "payload")).alias("answers")
+        )
+        own = blocks.hint("merge").join(found, F.col("block") == F.col("__block"), "left")
+        return own.select("block", "payload", "answers")
 
     def gather(answers: DataFrame, kind: int) -> list[dict]:
         """What the buckets have for the driver, summed by the tasks to SUMS rows at most."""
@@ -346,8 +350,8 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     n, v = sum(t["n"] for t in totals), sum(t["v"] for t in totals)
 
     def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in grouped(batches, "block"):
-            yield message(list(pair_messages(block, rows, parts)))
+        for block, rows in with_answers(batches):
+            yield message(list(pair_messages(block, rows, parts, starts)))
 
     sent = to_blocks(words).mapInArrow(send_pairs, MESSAGE)
     pairs = stage(to_buckets(sent).mapInArrow(sum_pairs(n, v), MESSAGE), "pairs")
@@ -357,8 +361,8 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     weights = learn_weights(table, n, v)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in grouped(batches, "block"):
-            yield scores(rows, weights, n, v, parts)
+        for _, rows in with_answers(batches):
+            yield scores(rows, weights, n, v, parts, starts)
 
     return to_blocks(words, pairs).mapInArrow(score, RESULT)
 
