@@ -119,7 +119,7 @@ def scan_licenses(docs: DataFrame, all_rules: Sequence[Rule] | None = None) -> D
 
     base = F.regexp_extract_all("__norm", F.lit(PHRASE), F.lit(0))
     tail = F.element_at(F.split("__norm", PHRASE, -1), -1)
-    before = F.substring(F.col("__norm"), F.lit(1), F.regexp_instr("__norm", F.lit(PHRASE)) - 1)
+    before = F.element_at(F.split("__norm", PHRASE, 2), 1)
     rows = rows.withColumn("__base", base)
     some = F.size("__base") > 0
     rows = rows.withColumns(

@@ -66,3 +66,16 @@ def test_rules_are_many_and_each_has_its_keyword():
 
 def test_empty(spark):
     assert scan_licenses(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_places_behind_characters_of_two_units(spark):
+    texts = ["😀 " * 12 + "mit license x 𝒳𝒳 cc by", "𝒳mit license 😀", "mit license", "apache license 😀 mit license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word) for r in scan_licenses(docs).collect()}
+    word = texts[0].split()
+    assert found == {
+        0: (len(word), 2, word.index("mit"), word.index("cc")),
+        1: (3, 0, None, None),
+        2: (2, 1, 0, 0),
+        3: (5, 2, 0, 3),
+    }
