@@ -38,6 +38,7 @@ END = 2
 BLOCK = 1 << 18  # ids after which a block is closed
 PART = 1 << 26  # ids of a part, about, where there are more of them than shuffle partitions
 CACHED = 1 << 20  # pieces whose ids a Python worker keeps, some 150 bytes each
+SLICE = 4 << 20  # bytes of text that are encoded together
 LONG = 64  # characters beyond which a piece is not kept
 MARK = "\x01"
 ENDS = frozenset(".,;:!?")
@@ -82,19 +83,26 @@ class Pieces:
         if len(kept) > CACHED:
             kept.clear()
         split = [None if "<|" in t or MARK in t else small(t).replace("\n", " ").split(" ") for t in texts]
-        new = set(chain.from_iterable(p for p in split if p)).difference(kept)
+        used = set(chain.from_iterable(p for p in split if p))
+        new = used.difference(kept)
         # A word and the one sign at its end are two tokens or more, whatever stands before.
         apart = [p for p in new if len(p) > 1 and p[-1] in ENDS and p[-2] in PLAIN]
         alone = list(new.difference(apart).union(ENDS, (p[:-1] for p in apart)).difference(kept))
         if alone:
-            ids = self.whole(f" {MARK} ".join(alone))
+            # Between letters or digits the mark needs no blanks around it.
+            plain = [p for p in alone if p and p[0] in PLAIN and p[-1] in PLAIN]
+            others = list(set(alone).difference(plain))
+            alone = plain + others
+            blank = f" {MARK} "
+            ids = self.whole(blank.join([MARK.join(plain), *others] if plain else others))
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
             starts = np.append(0, ends[:-1] + 4)
             raw = ids.tobytes()
-            kept.update((p, raw[a:b]) for p, a, b in zip(alone, starts.tolist(), ends.tolist(), strict=True))
+            kept.update(zip(alone, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
         kept.update((p, kept[p[:-1]] + kept[p[-1]]) for p in apart)
+        own = {p: kept[p] for p in used}  # small enough to stay in the processor's cache
         out = [
-            self.whole(t) if pieces is None else np.frombuffer(b"".join(map(kept.__getitem__, pieces)), np.uint32)
+            self.whole(t) if pieces is None else np.frombuffer(b"".join(map(own.__getitem__, pieces)), np.uint32)
             for t, pieces in zip(texts, split, strict=True)
         ]
         for p in [p for p in chain(alone, apart) if len(p) > LONG]:
@@ -127,7 +135,7 @@ def tokenized(docs: DataFrame, path: str, end: int | None = END, encoder: type =
         last = np.array([] if end is None else [end], np.uint32)
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for first, data, at in slices(batch.column("text")):
+            for first, data, at in slices(batch.column("text"), SLICE):
                 raw = data.tobytes()
                 texts = [raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 ids = [np.append(x, last) for x in encode(texts)]
