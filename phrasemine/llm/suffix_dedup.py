@@ -4,11 +4,13 @@ A window (200 bytes of a document) is owned by the smallest hash among the
 50-byte grams in it, the leftmost if equal. Equal windows have equal owners, so
 windows that can be equal meet by the hash of their owner, and an owner's
 windows lie side by side: they and what they cover are one context. One
-shuffle of hashes, without texts, drops owners that come once. Contexts that are
+shuffle of hashes, without texts, drops owners that come once; owners of very many
+contexts are counted before it and looked up in a broadcast. Contexts that are
 equal as a whole are repeated in full. Different contexts of an owner are put into shards, whose suffix
 arrays (induced sorting) and permuted common prefixes tell which windows recur.
 An owner with more than a shard of different contexts (a common line in many
 surroundings) is not held in a task: its windows meet by a hash of their bytes.
+Texts are joined with what is wanted of them once, and with their spans once.
 """
 
 from __future__ import annotations
@@ -24,11 +26,15 @@ from pyspark.sql import functions as F
 from phrasemine.llm.shipping import ship
 from phrasemine.llm.suffixes import common_prefixes, suffix_array
 from phrasemine.llm.words import mix, powers, slices, utf8
+from phrasemine.operators.lookup import FREQUENT_SHARE, attach
 from phrasemine.plans.stage import stage
 
 GRAM = 50
 PLACE_BITS = 28  # bits of a gram's place in a slice; the other bits of the order are of its hash
 SHARD = 1 << 19  # bytes of contexts whose suffixes are sorted together
+BINS = 1 << 16  # contexts are counted by so many values of their owners' low bits
+HOT_SHARE = FREQUENT_SHARE  # an owner with a larger share of all contexts is hot; 1 / HOT_SHARE owners can be
+KEY = ["key", "mark"]
 
 
 def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
@@ -44,6 +50,8 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
 def contexts(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(owner's hash, row, first window's start in the row, number of windows, its place in ``data``) of each context."""
     n, per = len(data), length - GRAM + 1
+    if n > 1 << PLACE_BITS:
+        raise ValueError(f"a text of more than {1 << PLACE_BITS} bytes")
     none = np.zeros(0, np.int64)
     if n < length:
         return np.zeros(0, np.uint64), none, none, none, none
@@ -65,19 +73,46 @@ def contexts(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return grams[owner[start]], row[start], start - at[row[start]], count, start
 
 
-def row_key() -> Column:
-    """What tells documents apart: the id, or without one the text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+def row_key() -> list[Column]:
+    """What tells documents apart: the id, or without one a hash of the text, and another hash of the text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.hash("text")]
 
 
-def all_contexts(docs: DataFrame, length: int) -> DataFrame:
-    """``(owner, content, key, start, windows)`` of every context of every document."""
+def long_texts(docs: DataFrame, length: int) -> DataFrame:
+    key = [c.alias(name) for c, name in zip(row_key(), KEY, strict=True)]
+    return docs.filter(F.octet_length("text") >= length).select(*key, "text")
+
+
+def hot_bins(docs: DataFrame, length: int) -> tuple[np.ndarray, float]:
+    """Which of the BINS may hold a hot owner, and how many contexts make an owner hot; the driver gets BINS rows at most."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for _, data, at in slices(batch.column("text")):
+                owner, *_ = contexts(data, at, length)
+                counts += np.bincount((owner & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+        used = np.flatnonzero(counts)
+        yield pa.record_batch({"bin": pa.array(used.astype(np.int32)), "n": pa.array(counts[used])})
+
+    counted = long_texts(docs, length).select("text").mapInArrow(work, "bin int, n long")
+    rows = counted.groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    most = HOT_SHARE * sum(r["n"] for r in rows)
+    hot = np.zeros(BINS, bool)
+    hot[[r["bin"] for r in rows if r["n"] > most]] = True
+    return hot, most
+
+
+def all_contexts(docs: DataFrame, length: int, bins: np.ndarray) -> DataFrame:
+    """``(owner, content, key, mark, start, windows)`` of every context whose owner is in ``bins``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column("key").to_numpy()
+            key, mark = (batch.column(c).to_numpy() for c in KEY)
             for first, data, at in slices(batch.column("text")):
-                owner, row, start, count, place = contexts(data, at, length)
+                found = contexts(data, at, length)
+                use = bins[(found[0] & np.uint64(BINS - 1)).astype(np.int64)]
+                owner, row, start, count, place = (x[use] for x in found)
                 view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
                 ends = (place + count + length - 1).tolist()
                 content = [digest(view[a:b]) for a, b in zip(place.tolist(), ends, strict=True)]
@@ -86,17 +121,18 @@ def all_contexts(docs: DataFrame, length: int) -> DataFrame:
                         "owner": pa.array(owner.view(np.int64)),
                         "content": pa.array(np.array(content, np.uint64).view(np.int64)),
                         "key": pa.array(key[first + row]),
+                        "mark": pa.array(mark[first + row]),
                         "start": pa.array(start.astype(np.int32)),
                         "windows": pa.array(count.astype(np.int16)),
                     }
                 )
 
-    schema = "owner long, content long, key long, start int, windows short"
-    return docs.select(row_key().alias("key"), "text").filter(F.octet_length("text") >= length).mapInArrow(work, schema)
+    schema = "owner long, content long, key long, mark int, start int, windows short"
+    return long_texts(docs, length).mapInArrow(work, schema)
 
 
 def repeated_in_shards(texts: DataFrame, length: int) -> DataFrame:
-    """``(key, start, windows)``: runs of windows that recur among ``(owner, key, start, context)`` of an owner."""
+    """``(key, mark, start, windows)``: runs of windows that recur among ``(owner, key, mark, start, context)`` of an owner."""
 
     def search(rows: list[tuple]) -> pa.RecordBatch:
         t = np.full(sum(len(c) + 1 for *_, c in rows) + 1, 1, np.int64)
@@ -119,11 +155,12 @@ def repeated_in_shards(texts: DataFrame, length: int) -> DataFrame:
         out = []
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             k = which[a]
-            out.append((rows[k][1], rows[k][2] + a - (int(ends[k]) - len(rows[k][3])), b - a))
-        key, start, windows = zip(*out, strict=True) if out else ((), (), ())
-        return pa.record_batch(
-            {"key": pa.array(key, pa.int64()), "start": pa.array(start, pa.int32()), "windows": pa.array(windows, pa.int16())}
-        )
+            _, key, mark, start, context = rows[k]
+            out.append((key, mark, start + a - (int(ends[k]) - len(context)), b - a))
+        columns = zip(*out, strict=True) if out else ((), (), (), ())
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int16())
+        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        return pa.record_batch(arrays, names=[*KEY, "start", "windows"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -135,100 +172,108 @@ def repeated_in_shards(texts: DataFrame, length: int) -> DataFrame:
                     yield search(rows)
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[3])
+                held += len(row[-1])
         if rows:
             yield search(rows)
 
     dealt = texts.repartition("owner").sortWithinPartitions("owner")
-    return dealt.mapInArrow(work, "key long, start int, windows short")
-
-
-def cut_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``(owner, key, start, context)``: the bytes of the ``(key, owner, start, windows)`` in ``wanted``."""
-
-    def part(key: int, text: bytes, parts: list[dict]) -> pa.RecordBatch:
-        return pa.record_batch(
-            {
-                "owner": pa.array([p["owner"] for p in parts], pa.int64()),
-                "key": pa.array([key] * len(parts), pa.int64()),
-                "start": pa.array([p["start"] for p in parts], pa.int32()),
-                "context": pa.array([text[p["start"] : p["start"] + p["windows"] + length - 1] for p in parts], pa.binary()),
-            }
-        )
-
-    return from_texts(docs, wanted, length, part, "owner long, key long, start int, context binary")
-
-
-def hashed_windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``(owner, window, key, start)``: a hash of each single window of the contexts in ``wanted``."""
-
-    def part(key: int, text: bytes, parts: list[dict]) -> pa.RecordBatch:
-        places = [(p["owner"], at) for p in parts for at in range(p["start"], p["start"] + p["windows"])]
-        view, digest = memoryview(text), xxhash.xxh3_64_intdigest
-        hashes = np.array([digest(view[at : at + length]) for _, at in places], np.uint64)
-        return pa.record_batch(
-            {
-                "owner": pa.array([o for o, _ in places], pa.int64()),
-                "window": pa.array(hashes.view(np.int64)),
-                "key": pa.array([key] * len(places), pa.int64()),
-                "start": pa.array([at for _, at in places], pa.int32()),
-            }
-        )
-
-    return from_texts(docs, wanted, length, part, "owner long, window long, key long, start int")
+    return dealt.mapInArrow(work, "key long, mark int, start int, windows short")
 
 
-def repeated_by_hash(windows: DataFrame) -> DataFrame:
-    """``(key, start, windows)`` of the windows whose hash comes again for their owner.
+def pieces_of_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """``(owner, key, mark, start, context, window)`` of the contexts ``(owner, key, mark, start, windows, large)`` in ``wanted``.
 
-    Counts are made in the tasks first and joined back, so that Spark can split a window that comes everywhere.
+    A context of a large owner comes as a hash of each of its windows, any other one as its bytes.
     """
-    again = windows.groupBy("owner", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return windows.join(again, ["owner", "window"]).select("key", "start", F.lit(1).cast("short").alias("windows"))
-
 
-def from_texts(docs: DataFrame, wanted: DataFrame, length: int, part: Callable, schema: str) -> DataFrame:
-    """What ``part`` makes of each text's contexts in ``wanted``."""
+    def part(text: bytes, parts: list[dict]) -> Iterator[tuple]:
+        view, digest = memoryview(text), xxhash.xxh3_64_intdigest
+        for p in parts:
+            owner, start, end = p["owner"], p["start"], p["start"] + p["windows"]
+            if p["large"]:
+                for at in range(start, end):
+                    h = digest(view[at : at + length])
+                    yield owner, at, None, h - (1 << 64) if h >> 63 else h
+            else:
+                yield owner, start, text[start : end + length - 1], None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.int64())
         for batch in batches:
             data, at = utf8(batch.column("text"))
-            for k, (key, parts) in enumerate(zip(batch.column("key"), batch.column("parts"), strict=True)):
-                text = data[at[k] : at[k + 1]].tobytes()
-                yield part(key.as_py(), text, parts.as_py())
+            for k, parts in enumerate(batch.column("parts")):
+                made = list(part(data[at[k] : at[k + 1]].tobytes(), parts.as_py()))
+                owner, start, context, window = (pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True))
+                own = [batch.column(c).take(pa.array([k] * len(made), pa.int64())) for c in KEY]
+                yield pa.record_batch([owner, *own, start, context, window], names=["owner", *KEY, "start", "context", "window"])
 
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("owner", "start", "windows")).alias("parts"))
-    keyed = docs.select(row_key().alias("key"), "text").filter(F.octet_length("text") >= length)
-    return keyed.join(lists, "key").select("key", "text", "parts").mapInArrow(work, schema)
+    lists = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("owner", "start", "windows", "large")).alias("parts"))
+    joined = long_texts(docs, length).join(lists, KEY).select(*KEY, "text", "parts")
+    return joined.mapInArrow(work, "owner long, key long, mark int, start int, context binary, window long")
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """``(key, spans)``: for documents with repeated windows, runs ``(start, windows)`` of their starts.
+def repeated_by_hash(windows: DataFrame) -> DataFrame:
+    """``(key, mark, start, windows)`` of the windows whose hash comes again for their owner, frequent ones by a broadcast."""
+    counts = stage(windows.groupBy("owner", "window").agg(F.count("*").alias("n")), "window_counts")
+    on = {"owner": "owner", "window": "window"}
+    counted = attach(windows, counts, on, {"n": "times"}, "n").filter("times > 1")
+    return counted.select(*KEY, "start", F.lit(1).cast("short").alias("windows"))
 
-    An owner's contexts are sorted in one task if they have SHARD bytes at most.
-    """
-    every = all_contexts(docs, length)
+
+def marked_side_by_side(every: DataFrame) -> DataFrame:
+    """Contexts of owners that come again, whose rows meet in one task: with ``twin`` (an equal one is there),
+    ``same`` (and stands before it), ``various`` (the owner has different ones)."""
     order = Window.partitionBy("owner").orderBy("content")
     group = Window.partitionBy("owner")
     same = F.coalesce(F.lag("content").over(order) == F.col("content"), F.lit(False))
     again = F.coalesce(F.lead("content").over(order) == F.col("content"), F.lit(False))
-    marked = (
+    return (
         every.withColumn("same", same)
         .withColumn("twin", same | again)
         .withColumn("various", F.min("content").over(group) != F.max("content").over(group))
         .filter("twin or various")
     )
-    marked = stage(marked.drop("content"), "marked")
-    wanted = marked.filter("various and not same").select("key", "owner", "start", "windows")
+
+
+def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+    """``(key, mark, spans)``: for documents with repeated windows, runs ``(start, windows)`` of their starts.
+
+    Rows of an owner meet in one task if they are HOT_SHARE of all at most, and its
+    contexts are sorted in one if they have SHARD bytes at most. A hot owner's rows are
+    counted in the tasks, and look up their counts; frequent ones do so in a broadcast.
+    """
+    bins, most = hot_bins(docs, length)
+    every = all_contexts(docs, length, ~bins)
+    where = ["owner", *KEY, "start", "windows"]
+    twins = wanted = None
+    if bins.any():
+        rows = stage(all_contexts(docs, length, bins), "in_bins")
+        owners = rows.groupBy("owner").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
+        # At most 1 / HOT_SHARE rows.
+        owners = stage(owners.filter(F.col("n") > most).select("owner", (F.col("low") != F.col("high")).alias("various")), "owners")
+        every = every.unionAll(rows.join(F.broadcast(owners), "owner", "left_anti").select(*every.columns))
+        rows = rows.join(F.broadcast(owners), "owner")
+        # All four are of one row, the same one.
+        one = [F.first(c).alias(c) for c in (*KEY, "start", "windows")]
+        counts = stage(rows.groupBy("owner", "content", "various").agg(F.count("*").alias("n"), *one), "counts")
+        on = {"owner": "owner", "content": "content"}
+        twins = attach(rows, counts, on, {"n": "times"}, "n").filter("times > 1").select(*KEY, "start", "windows")
+        wanted = counts.filter("various").select(*where)
+    marked = stage(marked_side_by_side(every).drop("content"), "marked")
+    side_by_side = marked.filter("various and not same").select(*where)
+    wanted = side_by_side if wanted is None else wanted.unionAll(side_by_side)
     # Owners with more than a shard of contexts; there are at most as many as there are shards in all.
     large = wanted.groupBy("owner").agg(F.sum(F.col("windows") + F.lit(length - 1)).alias("n")).filter(F.col("n") > SHARD)
-    large = stage(large.select("owner"), "large")
-    found = repeated_in_shards(cut_contexts(docs, wanted.join(F.broadcast(large), "owner", "left_anti"), length), length)
-    runs = marked.filter("twin").select("key", "start", "windows").unionAll(found)
+    large = stage(large.select("owner", F.lit(True).alias("large")), "large")
+    told = wanted.join(F.broadcast(large), "owner", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    pieces = stage(pieces_of_texts(docs, told, length), "pieces")
+    runs = marked.filter("twin").select(*KEY, "start", "windows")
+    runs = runs.unionAll(repeated_in_shards(pieces.filter("window is null").drop("window"), length))
+    if twins is not None:
+        runs = runs.unionAll(twins)
     if large.head(1):
-        windows = hashed_windows(docs, wanted.join(F.broadcast(large), "owner", "left_semi"), length)
-        runs = runs.unionAll(repeated_by_hash(stage(windows, "windows")))
-    return runs.groupBy("key").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+        runs = runs.unionAll(repeated_by_hash(pieces.filter("window is not null").drop("context")))
+    return runs.groupBy(*KEY).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
 def kept_bytes(text: bytes, spans: list[dict], length: int) -> tuple[bytes, int, int]:
@@ -250,13 +295,14 @@ def suffix_dedup(docs: DataFrame, length: int = 200, as_text: bool = False) -> D
 
     Matches never cross documents, overlapping ones count, and all are judged
     on the input. Null and empty texts keep no bytes and lose none. A text that
-    comes twice in any two rows loses every byte if it has at least ``length``. An id names
-    one text: rows that repeat an id must repeat its text. Columns of ``docs``
+    comes twice in any two rows loses every byte if it has at least ``length``. Rows are
+    told apart by id and text: different texts with one id, or without any, are documents of their own. Columns of ``docs``
     with the names of the new ones are replaced.
     """
-    rest = docs.drop("kept", "n_bytes", "n_removed", "n_spans").withColumn("__key", row_key())
-    spans = repeated_spans(docs, length).withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans")
-    joined = rest.join(spans, "__key", "left").drop("__key")
+    rest = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
+    spans = repeated_spans(docs, length).select(*[F.col(c).alias(f"__{c}") for c in (*KEY, "spans")])
+    names = [f"__{c}" for c in KEY]
+    joined = rest.withColumns(dict(zip(names, row_key(), strict=True))).join(spans, names, "left").drop(*names)
     bare = F.coalesce(F.col("text"), F.lit(""))
     bare = bare if as_text else bare.cast("binary")
     whole = joined.filter("__spans is null").drop("__spans").select(

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from phrasemine.llm import suffix_dedup as suffix_dedup_module
@@ -25,7 +26,10 @@ def test_suffix_arrays_and_common_prefixes(monkeypatch):
             assert shared[b] == k
 
 
-def test_against_all_windows(spark):
+@pytest.mark.parametrize("share", [0.0, 0.02, 1.0])
+def test_against_all_windows(spark, monkeypatch, share):
+    # All owners are hot, some, or none.
+    monkeypatch.setattr(suffix_dedup_module, "HOT_SHARE", share)
     rows = awkward()
     docs = spark.createDataFrame([*rows, (None, rows[15][1], None, None, 1)], SCHEMA)
     rows = [*rows, (None, rows[15][1])]
@@ -39,6 +43,14 @@ def test_against_all_windows(spark):
     assert sum(r.n_spans > 1 for r in found) and sum(r.n_removed == 0 for r in found) > 10
 
 
+def test_one_id_with_different_texts(spark):
+    line = "a line that comes back " * 12
+    rows = [(1, line + "one"), (1, "two " + line), (1, "short"), (None, line + "three"), (None, None), (1, line + "one"), (None, "x" * 150 + "four")]
+    found = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    mine = sorted((r.doc_id or 0, r.text or "", r.n_bytes, bytes(r.kept), r.n_removed, r.n_spans) for r in found)
+    assert mine == sorted((i or 0, t or "", *own) for (i, t), own in zip(rows, repeated(rows, 200), strict=True))
+
+
 def test_text_of_what_is_kept(spark):
     shared = "é" * 120
     rows = [(1, f"aä{shared}b"), (2, f"cä{shared}"), (3, None), (4, "")]
