@@ -83,36 +83,14 @@ def long_texts(docs: DataFrame, length: int) -> DataFrame:
     return docs.filter(F.octet_length("text") >= length).select(*key, "text")
 
 
-def hot_bins(docs: DataFrame, length: int) -> tuple[np.ndarray, float]:
-    """Which of the BINS may hold a hot owner, and how many contexts make an owner hot; the driver gets BINS rows at most."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BINS, np.int64)
-        for batch in batches:
-            for _, data, at in slices(batch.column("text")):
-                owner, *_ = contexts(data, at, length)
-                counts += np.bincount((owner & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
-        used = np.flatnonzero(counts)
-        yield pa.record_batch({"bin": pa.array(used.astype(np.int32)), "n": pa.array(counts[used])})
-
-    counted = long_texts(docs, length).select("text").mapInArrow(work, "bin int, n long")
-    rows = counted.groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    most = HOT_SHARE * sum(r["n"] for r in rows)
-    hot = np.zeros(BINS, bool)
-    hot[[r["bin"] for r in rows if r["n"] > most]] = True
-    return hot, most
-
-
-def all_contexts(docs: DataFrame, length: int, bins: np.ndarray) -> DataFrame:
-    """``(owner, content, key, mark, start, windows)`` of every context whose owner is in ``bins``."""
+def all_contexts(docs: DataFrame, length: int) -> DataFrame:
+    """``(owner, content, key, mark, start, windows)`` of every context of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, mark = (batch.column(c).to_numpy() for c in KEY)
             for first, data, at in slices(batch.column("text")):
-                found = contexts(data, at, length)
-                use = bins[(found[0] & np.uint64(BINS - 1)).astype(np.int64)]
-                owner, row, start, count, place = (x[use] for x in found)
+                owner, row, start, count, place = contexts(data, at, length)
                 view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
                 ends = (place + count + length - 1).tolist()
                 content = [digest(view[a:b]) for a, b in zip(place.tolist(), ends, strict=True)]
@@ -213,11 +191,46 @@ def pieces_of_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFram
 
 
 def repeated_by_hash(windows: DataFrame) -> DataFrame:
-    """``(key, mark, start, windows)`` of the windows whose hash comes again for their owner, frequent ones by a broadcast."""
-    counts = stage(windows.groupBy("owner", "window").agg(F.count("*").alias("n")), "window_counts")
-    on = {"owner": "owner", "window": "window"}
-    counted = attach(windows, counts, on, {"n": "times"}, "n").filter("times > 1")
-    return counted.select(*KEY, "start", F.lit(1).cast("short").alias("windows"))
+    """``(key, mark, start, windows)`` of the windows whose hash comes again for their owner.
+
+    Those with more than HOT_SHARE of all rows, 1 / HOT_SHARE of them at most, are known to the
+    tasks and told where they are; of all others the equal ones meet, in groups of at most that share.
+    """
+    most = max(1, HOT_SHARE * windows.count())
+    frequent = windows.groupBy("owner", "window").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    known = frequent.select("owner", "window").orderBy("window").toArrow()
+    owners, hashes = (known.column(c).to_numpy() for c in ("owner", "window"))
+
+    def is_known(batch: pa.RecordBatch) -> np.ndarray:
+        owner, window = (batch.column(c).to_numpy() for c in ("owner", "window"))
+        if not len(hashes):
+            return np.zeros(len(owner), bool)
+        at = np.minimum(np.searchsorted(hashes, window), len(hashes) - 1)
+        return (hashes[at] == window) & (owners[at] == owner)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(is_known(batch)))
+            if not len(batch):
+                continue
+            # Windows that follow each other are one run.
+            owner, key, mark, start = (batch.column(c).to_numpy() for c in ("owner", *KEY, "start"))
+            first = np.ones(len(batch), bool)
+            first[1:] = np.diff(start) != 1
+            for x in (owner, key, mark):
+                first[1:] |= x[1:] != x[:-1]
+            at = np.flatnonzero(first)
+            runs = np.diff(np.append(at, len(batch))).astype(np.int16)
+            yield pa.record_batch([key[at], mark[at], start[at], runs], names=[*KEY, "start", "windows"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~is_known(batch)))
+
+    times = F.count("*").over(Window.partitionBy("owner", "window"))
+    rest = windows.mapInArrow(others, windows.schema).withColumn("times", times).filter("times > 1")
+    one_by_one = rest.select(*KEY, "start", F.lit(1).cast("short").alias("windows"))
+    return one_by_one.unionAll(windows.mapInArrow(told, one_by_one.schema))
 
 
 def marked_side_by_side(every: DataFrame) -> DataFrame:
@@ -242,17 +255,24 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     contexts are sorted in one if they have SHARD bytes at most. A hot owner's rows are
     counted in the tasks, and look up their counts; frequent ones do so in a broadcast.
     """
-    bins, most = hot_bins(docs, length)
-    every = all_contexts(docs, length, ~bins)
+    every = stage(all_contexts(docs, length), "contexts")
+    most = HOT_SHARE * every.count()
+    # Bins and owners are 1 / HOT_SHARE rows at most.
+    slot = F.col("owner").bitwiseAND(F.lit(BINS - 1).cast("long"))
+    bins = every.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).filter(F.col("n") > most).select("slot")
+    owners = (
+        every.join(F.broadcast(bins), slot == F.col("slot"), "left_semi")
+        .groupBy("owner")
+        .agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
+        .filter(F.col("n") > most)
+        .select("owner", (F.col("low") != F.col("high")).alias("various"))
+    )
+    owners = stage(owners, "owners")
     where = ["owner", *KEY, "start", "windows"]
     twins = wanted = None
-    if bins.any():
-        rows = stage(all_contexts(docs, length, bins), "in_bins")
-        owners = rows.groupBy("owner").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-        # At most 1 / HOT_SHARE rows.
-        owners = stage(owners.filter(F.col("n") > most).select("owner", (F.col("low") != F.col("high")).alias("various")), "owners")
-        every = every.unionAll(rows.join(F.broadcast(owners), "owner", "left_anti").select(*every.columns))
-        rows = rows.join(F.broadcast(owners), "owner")
+    if owners.head(1):
+        rows = every.join(F.broadcast(owners), "owner")
+        every = every.join(F.broadcast(owners), "owner", "left_anti")
         # All four are of one row, the same one.
         one = [F.first(c).alias(c) for c in (*KEY, "start", "windows")]
         counts = stage(rows.groupBy("owner", "content", "various").agg(F.count("*").alias("n"), *one), "counts")
