@@ -86,11 +86,14 @@ def may_hold(words: np.ndarray, keys: list[str]) -> np.ndarray:
     return ((words[block] & masks) == masks).all(1)
 
 
-def url_keys(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Keys that would list a URL: suffixes of the host by label, with prefixes of the path of the listed lengths."""
-    labels = host.split(".")
-    hosts = [".".join(labels[k:]) for k in range(len(labels))]
-    return [h + path[:n] for h in hosts for n in lengths if n <= len(path)]
+def url_keys(host: str, path: str, shapes: list[tuple[int, int]]) -> list[str]:
+    """Keys that would list a URL: suffixes of the host by label with prefixes of the path, of the listed pairs of lengths."""
+    keys = []
+    for cut, tail in shapes:
+        from_label = cut == len(host) or cut < len(host) and host[len(host) - cut - 1] == "."
+        if from_label and tail <= len(path):
+            keys.append(host[len(host) - cut :] + path[:tail])
+    return keys
 
 
 def listed_urls(pages: DataFrame, listing: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
@@ -112,15 +115,15 @@ def listed_urls(pages: DataFrame, listing: DataFrame, host: str = "host", path:
         .withColumn("tail", F.length("rule") - F.col("cut")),
         "listing",
     )
-    # Bounded by the longest listed path.
-    lengths = sorted(row["tail"] for row in rules.select("tail").distinct().collect())
+    # Bounded by the lengths of the longest listed host and path.
+    shapes = sorted((row["cut"], row["tail"]) for row in rules.select("cut", "tail").distinct().collect())
     filter_words = pages.sparkSession.sparkContext.broadcast(bloom_filter(rules, "rule"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = filter_words.value
         for batch in batches:
             hosts, paths = batch.column("__host").to_pylist(), batch.column("__path").to_pylist()
-            keys = [url_keys(h, p, lengths) if h else [] for h, p in zip(hosts, paths, strict=True)]
+            keys = [url_keys(h, p, shapes) if h else [] for h, p in zip(hosts, paths, strict=True)]
             every = [k for own in keys for k in own]
             hit = may_hold(words, every) if every else np.zeros(0, bool)
             at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])

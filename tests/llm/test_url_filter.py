@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from phrasemine.llm.url_filter import RULES, host_and_path, listed_urls
+from phrasemine.llm.url_filter import RULES, host_and_path, listed_urls, url_keys
 
 URLS = [
     None, "", "no scheme", "http://", "http:///path", "https://A.NET", "https://A.NET/", "http://www.example.net/en/1?x=/de/",
@@ -48,3 +48,9 @@ def test_empty(spark):
     nothing = spark.createDataFrame([], "rule string, action string")
     pages = spark.createDataFrame([("a.net", "/")], "host string, path string")
     assert [tuple(r) for r in listed_urls(pages, nothing).collect()] == [("a.net", "/", None, None)]
+
+
+def test_long_hosts_make_keys_of_listed_lengths_only():
+    host = "a." * 50000 + "example.net"
+    assert url_keys(host, "/en/x", [(3, 1), (11, 4), (12, 1), (0, 1)]) == ["net/", "example.net/en/"]
+    assert url_keys("net", "", [(3, 0), (3, 1), (4, 0)]) == ["net"] and url_keys("a.", "/", [(0, 1)]) == ["/"]
