@@ -7,7 +7,7 @@ the outer one stays, of equal ones the one of the first rule.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from phrasemine.llm.license_rules import PHRASES, Rule, rules
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASE = " (?:" + "|".join(p for p, _ in PHRASES) + ")(?= )"
+OPEN, CLOSE = "\x01", "\x02"  # no word has them
+PART = 128
 DETECTION = "array<struct<start:bigint,back:bigint,priority:int,label:string,confidence:double>>"
 
 
@@ -25,6 +27,11 @@ def spaces(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, also where lambdas inside refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def rule_array(all_rules: Sequence[Rule]) -> Column:
     return F.array(
         *[
@@ -48,39 +55,42 @@ def keywords_in(norm: Column, all_rules: Sequence[Rule]) -> Column:
 def detections(norm: Column, present: Column, all_rules: Sequence[Rule]) -> Column:
     """``(start, back, priority, label, confidence)`` of every match; ``back`` is the end, negated to sort long ones first.
 
-    What lies between matches and the matches themselves alternate; the words
-    in what comes before give each match its place.
+    Signs that no word has are set around each match, so that among the pieces between spaces
+    the one before a match and its last one carry them, and their places are those of the words.
     """
 
     def matches(rule: Column) -> Column:
-        between, found = F.split(norm, rule["pattern"], -1), F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
-        steps = F.zip_with(
-            F.slice(between, F.lit(1), F.size(found)),
-            found,
-            lambda b, f: F.struct(spaces(b).alias("gap"), spaces(f).alias("words")),
-        )
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(DETECTION).alias("out"))
-
-        def step(acc: Column, s: Column) -> Column:
-            here = acc["at"] + s["gap"]
-            one = F.struct(
-                here.alias("start"),
-                (-(here + s["words"])).alias("back"),
+        signed = F.regexp_replace(norm, F.concat(F.lit("("), rule["pattern"], F.lit(")")), F.lit(OPEN + "$1" + CLOSE))
+        places = F.transform(F.split(signed, " ", -1), lambda w, at: F.struct(w.alias("w"), at.cast("long").alias("at")))
+        starts = F.filter(places, lambda p: F.contains(p["w"], F.lit(OPEN)))
+        ends = F.filter(places, lambda p: F.contains(p["w"], F.lit(CLOSE)))
+        return F.zip_with(
+            starts,
+            ends,
+            lambda a, b: F.struct(
+                a["at"].alias("start"),
+                (-b["at"]).alias("back"),
                 rule["priority"].alias("priority"),
                 rule["label"].alias("label"),
                 rule["confidence"].alias("confidence"),
-            )
-            return F.struct((here + s["words"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+            ),
+        )
 
-        return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    def of_rules(known: Column) -> Column:
+        some = lambda r: F.array_contains(known, r["keyword"]) & F.rlike(norm, r["pattern"])
+        return F.flatten(F.transform(F.filter(rule_array(all_rules), some), matches))
 
-    running = F.filter(rule_array(all_rules), lambda r: F.array_contains(present, r["keyword"]))
-    return F.flatten(F.transform(running, matches))
+    return bound(present, of_rules)
 
 
 def outermost(found: Column) -> Column:
-    """Detections that lie within no other; of equal spans the first rule's."""
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast(DETECTION).alias("out"))
+    """Of sorted detections those that lie within no other; of equal spans the first rule's.
+
+    A part of PART is folded by itself, and parts are joined, so that arrays are not copied for every detection.
+    """
+
+    def start(end: Column) -> Column:
+        return F.struct(end.alias("end"), F.array().cast(DETECTION).alias("out"))
 
     def step(acc: Column, d: Column) -> Column:
         inside = -d["back"] <= acc["end"]
@@ -89,7 +99,15 @@ def outermost(found: Column) -> Column:
             F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(d))).alias("out"),
         )
 
-    return F.aggregate(F.array_sort(found), start, step, lambda acc: acc["out"])
+    def join(acc: Column, part: Column) -> Column:
+        more = F.aggregate(part, start(acc["end"]), step)
+        return bound(more, lambda m: F.struct(m["end"].alias("end"), F.concat(acc["out"], m["out"]).alias("out")))
+
+    def parts(ordered: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(ordered), F.lit(1)), F.lit(PART))
+        return F.transform(firsts, lambda at: F.slice(ordered, at, F.lit(PART)))
+
+    return F.aggregate(bound(found, parts), start(F.lit(0).cast("long")), join, lambda acc: acc["out"])
 
 
 def scan_licenses(docs: DataFrame, all_rules: Sequence[Rule] | None = None) -> DataFrame:
@@ -114,9 +132,10 @@ def scan_licenses(docs: DataFrame, all_rules: Sequence[Rule] | None = None) -> D
     words = F.regexp_extract_all("__low", F.lit(WORD), F.lit(0))
     norm = F.when(hint, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))).otherwise(F.lit(" "))
     rows = rows.withColumn("__norm", norm).drop("__low")
-    # A column of its own, as a lambda works out anew for each rule what is written inside it.
     rows = rows.withColumn("__present", keywords_in(F.col("__norm"), all_rules))
 
+    rows = rows.withColumn("__found", F.array_sort(detections(F.col("__norm"), F.col("__present"), all_rules)))
+
     base = F.regexp_extract_all("__norm", F.lit(PHRASE), F.lit(0))
     tail = F.element_at(F.split("__norm", PHRASE, -1), -1)
     before = F.element_at(F.split("__norm", PHRASE, 2), 1)
@@ -132,7 +151,7 @@ def scan_licenses(docs: DataFrame, all_rules: Sequence[Rule] | None = None) -> D
             "__labels": F.array_compact(
                 F.array(*[F.when(F.array_contains("__base", f" {p}"), F.lit(label)) for p, label in PHRASES])
             ),
-            "detections": outermost(detections(F.col("__norm"), F.col("__present"), all_rules)),
+            "detections": outermost(F.col("__found")),
         }
     )
     named = F.transform("detections", lambda d: d["label"])
@@ -149,7 +168,7 @@ def scan_licenses(docs: DataFrame, all_rules: Sequence[Rule] | None = None) -> D
                 ),
             ),
         }
-    ).drop("__norm", "__present", "__base", "__labels")
+    ).drop("__norm", "__present", "__found", "__base", "__labels")
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -79,3 +80,14 @@ def test_places_behind_characters_of_two_units(spark):
         2: (2, 1, 0, 0),
         3: (5, 2, 0, 3),
     }
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "mit license gnu general public license v3 x " * 20000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    r = scan_licenses(docs).select("n_words", "n_base", F.size("detections").alias("n"), "last_word", "labels").first()
+    took = time.perf_counter() - start
+    words = len(text.split())
+    assert (r.n_words, r.n_base, r.last_word) == (words, 40000, words - 6) and r.n >= 20000
+    assert took < 40
