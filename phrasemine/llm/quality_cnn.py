@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemine.llm.shipping import ship
@@ -29,11 +29,11 @@ class Training:
     """What a model is fitted on; these are the bounds of the sample.
 
     ``documents`` labelled texts at most are drawn in the order of a hash of their
-    id, and of each at most ``halves`` half chunks, spread over the whole text.
+    id, each whole; a text that does not fit into what is left of ``bytes`` is passed over.
     """
 
     documents: int = 4000
-    halves: int = 16
+    bytes: int = 1 << 26
     steps: int = 640
     batch: int = 64
     rate: float = 0.01
@@ -69,6 +69,17 @@ def pool(responses: np.ndarray) -> np.ndarray:
     return np.maximum(tops, 0)
 
 
+def slices_of(model: dict, padded: np.ndarray, half_at: np.ndarray) -> Iterator[np.ndarray]:
+    """Filter responses at all steps of ``padded``, WIDE bytes at a time."""
+    ends = half_at[1:] * (HALF // STEP)
+    for a in range(0, len(padded), WIDE):
+        # Some steps more, as windows reach over the cut; their own maxima are not used.
+        piece = padded[a : a + WIDE + STEP * BLOCKS]
+        steps = min(WIDE, len(padded) - a) // STEP
+        inside = ends[(ends > a // STEP) & (ends <= a // STEP + steps)] - a // STEP
+        yield respond(model, piece, inside)[:steps]
+
+
 def combine(model: dict, halves: np.ndarray, half_at: np.ndarray) -> np.ndarray:
     """Probability of each row from the maxima of its halves; chunks are neighbouring halves."""
     chunks = np.maximum(halves[:-1], halves[1:])
@@ -92,14 +103,7 @@ def score_texts(model: dict, column: pa.Array) -> np.ndarray:
     out = np.empty(len(column))
     for first, data, at in slices(column):
         padded, half_at = layout(at, data)
-        ends, halves = half_at[1:] * (HALF // STEP), []
-        for a in range(0, len(padded), WIDE):
-            # Some steps more, as windows reach over the cut; their own maxima are not used.
-            piece = padded[a : a + WIDE + STEP * BLOCKS]
-            steps = min(WIDE, len(padded) - a) // STEP
-            inside = ends[(ends > a // STEP) & (ends <= a // STEP + steps)] - a // STEP
-            halves.append(pool(respond(model, piece, inside)[:steps]))
-        halves = np.vstack(halves)
+        halves = np.vstack([pool(part) for part in slices_of(model, padded, half_at)])
         out[first : first + len(at) - 1] = combine(model, halves, half_at)
     return out
 
@@ -122,41 +126,68 @@ def new_model(seed: int) -> dict:
 
 
 def gradients(model: dict, padded: np.ndarray, half_at: np.ndarray, y: np.ndarray) -> dict:
-    """Of the mean cross-entropy of rows with the same number of halves each."""
-    rows = len(y)
-    per = (half_at[-1]) // rows
-    steps = HALF // STEP
-    responses = respond(model, padded, half_at[1:] * steps).reshape(-1, steps, FILTERS)
-    best = responses.argmax(1)
-    tops = np.maximum(np.take_along_axis(responses, best[:, None], 1)[:, 0], 0).reshape(rows, per, FILTERS)
-    left = tops[:, :-1] >= tops[:, 1:]
-    chunks = np.where(left, tops[:, :-1], tops[:, 1:])
-    high, low = chunks.argmax(1), chunks.argmin(1)
-    pick = lambda at: np.take_along_axis(chunks, at[:, None], 1)[:, 0]
-    features = np.hstack([chunks.mean(1), pick(high), pick(low)])
+    """Of the mean cross-entropy of whole rows.
+
+    Responses are looked at in slices. Of each half chunk only the maxima and their
+    places are kept, as nothing else has a gradient.
+    """
+    rows, f, steps = len(y), FILTERS, HALF // STEP
+    best, tops = [], []
+    for part in slices_of(model, padded, half_at):
+        part = part.reshape(-1, steps, f)
+        best.append(part.argmax(1))
+        tops.append(np.maximum(np.take_along_axis(part, best[-1][:, None], 1)[:, 0], 0))
+    best, tops = np.vstack(best), np.vstack(tops)
+    left = tops[:-1] >= tops[1:]
+    chunks = np.where(left, tops[:-1], tops[1:])
+    # A row's chunks are those that do not span its end.
+    own = list(zip(half_at[:-1].tolist(), (half_at[1:] - 1).tolist(), strict=True))
+    high = np.stack([a + chunks[a:b].argmax(0) for a, b in own])
+    low = np.stack([a + chunks[a:b].argmin(0) for a, b in own])
+    c = np.arange(f)[None]
+    features = np.hstack([np.stack([chunks[a:b].mean(0) for a, b in own]), chunks[high, c], chunks[low, c]])
     inner = features @ model["hidden"] + model["hidden_bias"]
     act = np.maximum(inner, 0)
     p = 1 / (1 + np.exp(-np.clip(act @ model["out"] + model["out_bias"], -30, 30)))
     dz = ((p - y) / rows).astype(np.float32)
     d_inner = np.outer(dz, model["out"]) * (inner > 0)
     d_features = d_inner @ model["hidden"].T
-    f = FILTERS
-    d_chunks = np.repeat(d_features[:, None, :f] / (per - 1), per - 1, 1)
-    r, c = np.arange(rows)[:, None], np.arange(f)[None]
-    d_chunks[r, high, c] += d_features[:, f : 2 * f]
-    d_chunks[r, low, c] += d_features[:, 2 * f :]
+    d_chunks = np.zeros_like(chunks)
+    for k, (a, b) in enumerate(own):
+        d_chunks[a:b] = d_features[k, :f] / (b - a)
+    d_chunks[high, c] += d_features[:, f : 2 * f]
+    d_chunks[low, c] += d_features[:, 2 * f :]
     d_tops = np.zeros_like(tops)
-    d_tops[:, :-1] += d_chunks * left
-    d_tops[:, 1:] += d_chunks * ~left
-    d_tops = (d_tops * (tops > 0)).reshape(-1, f)
-    # Each maximum passes its gradient to the window it came from.
+    d_tops[:-1] += d_chunks * left
+    d_tops[1:] += d_chunks * ~left
+    d_tops = d_tops * (tops > 0)
+    d_filters, d_bytes = np.zeros_like(model["filters"]), np.zeros_like(model["bytes"])
+    per = WIDE // HALF
+    for a in range(0, len(best), per):
+        part = padded[a * HALF : (a + per) * HALF + STEP * BLOCKS]
+        pass_back(model, part, best[a : a + per], d_tops[a : a + per], d_filters, d_bytes)
+    return {
+        "bytes": d_bytes,
+        "filters": d_filters,
+        "bias": d_tops.sum(0),
+        "hidden": features.T @ d_inner,
+        "hidden_bias": d_inner.sum(0),
+        "out": act.T @ dz,
+        "out_bias": dz.sum(keepdims=True),
+    }
+
+
+def pass_back(
+    model: dict, padded: np.ndarray, best: np.ndarray, d_tops: np.ndarray, d_filters: np.ndarray, d_bytes: np.ndarray
+) -> None:
+    """Adds what each maximum passes to the window it came from to both gradients."""
+    f, steps = FILTERS, HALF // STEP
     at = (np.arange(len(best))[:, None] * steps + best).ravel()
     which = np.tile(np.arange(f), len(best))
     d = d_tops.ravel()
     use = d != 0
     at, which, d = at[use], which[use], d[use]
     x = model["bytes"][padded].reshape(-1, STEP * DIM)
-    d_filters, d_bytes = np.zeros_like(model["filters"]), np.zeros_like(model["bytes"])
     steps_of = padded.reshape(-1, STEP)
     for k in range(BLOCKS):
         inside = at + k < len(x)
@@ -164,50 +195,29 @@ def gradients(model: dict, padded: np.ndarray, half_at: np.ndarray, y: np.ndarra
         weights = np.zeros((len(a), f), np.float32)
         weights[np.arange(len(a)), w] = g
         part = slice(k * f, (k + 1) * f)
-        d_filters[:, part] = x[a].T @ weights
+        d_filters[:, part] += x[a].T @ weights
         back = (weights @ model["filters"][:, part].T).reshape(-1, DIM)
         b = steps_of[a].ravel()
         for j in range(DIM):
             d_bytes[:, j] += np.bincount(b, back[:, j], 256)
-    return {
-        "bytes": d_bytes,
-        "filters": d_filters,
-        "bias": d_tops.sum(0),
-        "hidden": features.T @ d_inner,
-        "hidden_bias": d_inner.sum(0),
-        "out": act.T @ dz,
-        "out_bias": dz.sum(keepdims=True),
-    }
-
-
-def spread(text: bytes, halves: int) -> np.ndarray:
-    """``halves`` half chunks in pairs, evenly spread over the whole text.
-
-    Short texts repeat their chunks, which changes none of the three reductions much.
-    """
-    full_halves = max(2, -(-(len(text) + STEP * (BLOCKS - 1)) // HALF))
-    full = np.zeros(full_halves * HALF, np.uint8)
-    full[: len(text)] = np.frombuffer(text, np.uint8)
-    pairs = np.linspace(0, full_halves - 2, halves // 2).round().astype(int)
-    return full.reshape(-1, HALF)[np.stack([pairs, pairs + 1], 1).ravel()].ravel()
 
 
-def fit(examples: list[bytes], y: np.ndarray, how: Training) -> dict:
-    """A model for the labels ``y`` (0 or 1) of ``examples``, each the ``spread`` of a text; without any, an untrained one."""
+def fit(texts: list[bytes], y: np.ndarray, how: Training) -> dict:
+    """A model for the labels ``y`` (0 or 1) of whole ``texts``; without any, an untrained one."""
     model = new_model(how.seed)
-    if not len(examples):
+    if not len(texts):
         return model
     r = np.random.default_rng(how.seed)
-    rows = np.frombuffer(b"".join(examples), np.uint8).reshape(len(examples), how.halves * HALF)
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
-    half_at = np.arange(how.batch + 1) * how.halves
     order = np.zeros(0, int)
     for t in range(1, how.steps + 1):
         while len(order) < how.batch:
-            order = np.append(order, r.permutation(len(rows)))
+            order = np.append(order, r.permutation(len(texts)))
         batch, order = order[: how.batch], order[how.batch :]
-        g = gradients(model, rows[batch].ravel(), half_at, y[batch].astype(np.float32))
+        rows = [texts[k] for k in batch]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+        padded, half_at = layout(at, np.frombuffer(b"".join(rows), np.uint8))
+        g = gradients(model, padded, half_at, y[batch].astype(np.float32))
         rate = np.float32(how.rate * (1 - t / (how.steps + 1)))
         for k, v in g.items():
             m, s = moment[k]
@@ -219,33 +229,34 @@ def fit(examples: list[bytes], y: np.ndarray, how: Training) -> dict:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[list[bytes], np.ndarray]:
-    """The sample: at most ``how.documents`` labelled texts, chosen by a hash of their ids.
+    """The sample: at most ``how.documents`` whole labelled texts of ``how.bytes`` in all, by a hash of their ids.
 
-    Ids are chosen first and alone, and half chunks are picked in the tasks, so that no whole text moves.
-    Rows without text or with a null label are no examples.
+    Ids are chosen first and alone, then their texts' sizes are read, and only texts that fit are
+    fetched. An id is one example: of several texts the least, of several labels the lower. Rows without
+    text or with a null label are no examples.
     """
     chosen = (
-        labels.filter("quality in (0, 1)")
-        .select(F.col("doc_id").alias("__id"), "quality")
-        .dropDuplicates(["__id"])
+        labels.filter("quality in (0, 1) and doc_id is not null")
+        .groupBy(F.col("doc_id").alias("__id"))
+        .agg(F.min("quality").alias("__quality"))
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(how.documents)
+        .collect()
     )
-    found = (
-        docs.filter("text is not null")
-        .select("doc_id", "text")
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-        .select("doc_id", "quality", "text")
-    )
+    texts = docs.filter("text is not null").select(F.col("doc_id").alias("__id"), "text")
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            picked = [spread(x.as_py().encode(), how.halves).tobytes() for x in batch.column("text")]
-            yield batch.drop_columns(["text"]).append_column("example", pa.array(picked, pa.binary()))
+    def one_text(ids: list, value: Column) -> dict:
+        wanted = docs.sparkSession.createDataFrame([(x,) for x in ids], docs.select(F.col("doc_id").alias("__id")).schema)
+        return dict(texts.join(F.broadcast(wanted), "__id").groupBy("__id").agg(F.min("text").alias("text")).select("__id", value).collect())
 
-    schema = found.select("doc_id", "quality", F.lit(b"").alias("example")).schema
-    examples = found.mapInArrow(pick, schema).toPandas().sort_values(["doc_id", "example"])
-    return [bytes(x) for x in examples["example"]], examples["quality"].to_numpy(np.float32)
+    sizes = one_text([r["__id"] for r in chosen], F.octet_length("text"))
+    fits, left = {}, how.bytes
+    for r in chosen:
+        if sizes.get(r["__id"], left + 1) <= left:
+            fits[r["__id"]] = r["__quality"]
+            left -= sizes[r["__id"]]
+    found = one_text(list(fits), F.col("text"))
+    return [found[k].encode() for k in fits], np.array(list(fits.values()), np.float32)
 
 
 def held_out_column(doc_id: str = "doc_id"):
@@ -255,7 +266,8 @@ def held_out_column(doc_id: str = "doc_id"):
 def score_quality(docs: DataFrame, labels: DataFrame, how: Training = Training(), threshold: float = 0.7) -> DataFrame:
     """``docs`` with ``score`` (probability that ``quality`` is 1) and ``predicted`` (0 or 1).
 
-    Learns from the rows of ``labels`` ``(doc_id, quality)`` that are passed in.
+    Learns from the rows of ``labels`` ``(doc_id, quality)`` that are passed in; of
+    labels of one id that differ the lower counts.
     Only the text is scored; null and empty texts get the score of an empty
     text. Columns of ``docs`` named ``score`` or ``predicted`` are replaced.
     Repeated rows are each scored, the same text always alike.

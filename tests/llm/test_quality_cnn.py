@@ -76,10 +76,28 @@ def test_without_labels_or_rows(labelled):
     assert q.score_quality(docs.limit(0), labels, q.Training(steps=2)).collect() == []
 
 
-def test_examples_are_spread_over_the_whole_text(spark):
+def test_examples_are_whole_texts_within_the_bounds(spark):
     text = "a" * 30000 + "b" * 30000
-    docs = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    rows = [(1, text), (2, "short"), (3, None), (4, "x" * 200), (None, "no id"), (1, text), (2, "shorter"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(1, 0), (2, 1), (2, 0), (3, 1), (4, 1), (4, None), (5, 1), (None, 1), (9, 1)], "doc_id long, quality int"
+    )
     examples, y = q.training_rows(docs, labels, q.Training())
-    assert y.tolist() == [0, 1] and {len(x) for x in examples} == {16 * q.HALF}
-    assert examples[0].count(b"a") == 8 * q.HALF and examples[0].count(b"b") > 6 * q.HALF
+    expected = {text.encode(): 0, b"short": 0, b"x" * 200: 1, b"": 1}
+    assert dict(zip(examples, y.tolist(), strict=True)) == expected and len(examples) == 4
+    examples, _ = q.training_rows(docs, labels, q.Training(bytes=60000 - 1))
+    assert sorted(map(len, examples)) == [0, 5, 200]
+    assert len(q.training_rows(docs, labels, q.Training(documents=2))[0]) <= 2
+
+
+def test_gradients_of_slices_are_those_of_the_whole(monkeypatch):
+    r = np.random.default_rng(3)
+    model = q.new_model(1)
+    data = r.integers(0, 256, 40 * q.HALF).astype(np.uint8)
+    padded, half_at = q.layout(np.array([0, 30, 30, 25 * q.HALF + 7, len(data)]), data)
+    y = np.array([0, 1, 0, 1], np.float32)
+    whole = q.gradients(model, padded, half_at, y)
+    monkeypatch.setattr(q, "WIDE", q.HALF * 3)
+    for name, value in q.gradients(model, padded, half_at, y).items():
+        assert np.allclose(value, whole[name], atol=1e-6), name
