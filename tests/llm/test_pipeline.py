@@ -65,12 +65,34 @@ def test_each_stage_on_its_own_input(spark, folder):
     assert sorted(map(str, run)) == sorted(map(str, after))
 
 
+@pytest.mark.parametrize("ids", [(1, 2), (7, 7), (None, 8), (None, None)])
+def test_repeated_and_missing_ids(spark, tmp_path, ids):
+    rng = random.Random(5)
+    item = prose(rng, 30, 10**6)
+    texts = [" ".join(prose(rng, 60, 10**6)) for _ in range(3)]
+    dirty = f"{texts[0]} {' '.join(item)}"
+    a, b = ids
+    rows = [(a, texts[1]), (a, texts[1]), (b, texts[2]), (a, dirty), (9, texts[1] + " more"), (b, None), (b, ""), (None, " "), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], SCHEMA)
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    keys = pipeline.keyed(docs).select("doc_id", "text", "__key").collect()
+    assert len(keys) == len(rows)
+    assert len({r["__key"] for r in keys}) == len({(r.doc_id, r.text) for r in keys})
+    assert all(r["__key"] in {q["__key"] for q in keys if q.doc_id == r.doc_id} for r in keys if r.doc_id == 9)
+    kept = pipeline.near_duplicates(spark, docs, str(tmp_path))
+    left = sorted(r.text or "" for r in kept.collect())
+    assert [t for t in left if t.strip()] in [sorted([x, texts[2], dirty]) for x in (texts[1], texts[1] + " more")]
+    assert left.count(" ") == 2 and left.count("") == 2
+    free = pipeline.benchmark_free(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in free) == sorted((i or 0, t or "") for i, t in rows if t != dirty)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     base = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         base.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     frame = QUERIES[name](spark, FOLDER)
     columns = sorted(frame.columns)
