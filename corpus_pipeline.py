@@ -30,16 +30,47 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, labels).filter("predicted = 1").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each different document, ``__key``: its id, where one row has that id.
+
+    Rows that agree in id and text are one document. Of different texts with one id, the one
+    with the least digest has the id; the others, and documents without id, are numbered beyond
+    the largest id, in the order of id (null last) and digest.
+    """
+    docs = docs.select(*COLUMNS)
+    often = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    again = stage(often.select("doc_id"), "again")
+    if again.isEmpty():
+        return docs.withColumn("__key", F.col("doc_id"))
+    digest = F.coalesce(F.md5("text"), F.lit("")).alias("digest")
+    some = docs.filter("doc_id is not null").join(again, "doc_id").unionByName(docs.filter("doc_id is null"))
+    texts = stage(some.select("doc_id", digest).distinct(), "texts")
+    extra = texts.join(texts.groupBy("doc_id").agg(F.min("digest").alias("digest")), ["doc_id", "digest"], "left_anti")
+    top = docs.agg(F.max("doc_id")).first()[0] or 0
+    ordered = extra.orderBy(F.col("doc_id").asc_nulls_last(), "digest")
+    numbers = ordered.select(
+        F.col("doc_id").alias("__id"),
+        F.col("digest").alias("__digest"),
+        (F.monotonically_increasing_id() + F.lit(top + 1)).alias("__number"),
+    )
+    numbers = stage(numbers, "numbers")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest"))
+    return docs.join(numbers, same, "left").select(*COLUMNS, F.coalesce("__number", "doc_id").alias("__key"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates.
+    """The document with the smallest id of each group of near duplicates, those without id last.
 
-    Rows that repeat an id are one document, and one of them stays; rows without
-    id or words link with nothing and stay.
+    Rows that agree in id and text are one document, and one of them stays; different texts with
+    one id are different documents. Documents without words link with nothing and stay,
+    those without id too as rows.
     """
-    groups = ngram_join(docs.select("doc_id", "text"))
-    gone = groups.filter("n_shingles > 0 and component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null")).select(*COLUMNS)
+    own = keyed(docs)
+    groups = ngram_join(own.select(F.col("__key").alias("doc_id"), "text"))
+    gone = groups.filter("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias("__key")).distinct()
+    left = own.join(gone, "__key", "left_anti")
+    blank = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return left.filter(~blank).dropDuplicates(["__key"]).unionByName(left.filter(blank)).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +88,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that overlap with no benchmark item; of texts with one id, or without, each is judged by itself."""
+    own = keyed(docs)
+    benchmark = table(spark, sf_dir, "benchmark")
+    found = contamination(own.withColumn("doc_id", F.col("__key")), benchmark).select(F.col("doc_id").alias("__key"))
+    return own.join(found.distinct(), "__key", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
