@@ -5,7 +5,7 @@ A window (200 bytes of a document) is owned by the smallest hash among the
 windows that can be equal meet by the hash of their owner, and an owner's
 windows lie side by side: they and what they cover are one context. One
 shuffle of hashes, without texts, drops owners that come once; owners of very many
-contexts are counted before it and looked up in a broadcast. Contexts that are
+contexts are counted before it, and their frequent contexts known to the tasks. Contexts that are
 equal as a whole are repeated in full. Different contexts of an owner are put into shards, whose suffix
 arrays (induced sorting) and permuted common prefixes tell which windows recur.
 An owner with more than a shard of different contexts (a common line in many
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from phrasemine.llm.shipping import ship
 from phrasemine.llm.suffixes import common_prefixes, suffix_array
 from phrasemine.llm.words import mix, powers, slices, utf8
-from phrasemine.operators.lookup import FREQUENT_SHARE, attach
+from phrasemine.operators.lookup import FREQUENT_SHARE
 from phrasemine.plans.stage import stage
 
 GRAM = 50
@@ -190,47 +190,53 @@ def pieces_of_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFram
     return joined.mapInArrow(work, "owner long, key long, mark int, start int, context binary, window long")
 
 
-def repeated_by_hash(windows: DataFrame) -> DataFrame:
-    """``(key, mark, start, windows)`` of the windows whose hash comes again for their owner.
+def repeated_by_hash(rows: DataFrame, counts: DataFrame, most: float, among: DataFrame | None = None) -> DataFrame:
+    """``(key, mark, start, windows)`` of the rows ``(owner, content, key, mark, start, windows)`` whose ``content``, a hash, comes again for their owner.
 
-    Those with more than HOT_SHARE of all rows, 1 / HOT_SHARE of them at most, are known to the
-    tasks and told where they are; of all others the equal ones meet, in groups of at most that share.
+    ``counts(owner, content, n)`` tell how often each comes. Those that come more than ``most`` times, HOT_SHARE of all rows,
+    are 1 / HOT_SHARE at most: they are known to the tasks and told where they are, neighbours in a document as one run. Of all
+    others the equal ones meet, in groups of at most that share. With ``among(owner)``, as few, rows of other owners are left out.
     """
-    most = max(1, HOT_SHARE * windows.count())
-    frequent = windows.groupBy("owner", "window").agg(F.count("*").alias("n")).filter(F.col("n") > most)
-    known = frequent.select("owner", "window").orderBy("window").toArrow()
-    owners, hashes = (known.column(c).to_numpy() for c in ("owner", "window"))
+    known = counts.filter(F.col("n") > most).select("owner", "content").orderBy("content").toArrow()
+    owners, hashes = (known.column(c).to_numpy() for c in ("owner", "content"))
+    only = None if among is None else among.select("owner").orderBy("owner").toArrow().column("owner").to_numpy()
+
+    def place(values: np.ndarray, sought: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(values, sought), len(values) - 1)
 
     def is_known(batch: pa.RecordBatch) -> np.ndarray:
-        owner, window = (batch.column(c).to_numpy() for c in ("owner", "window"))
+        owner, content = (batch.column(c).to_numpy() for c in ("owner", "content"))
         if not len(hashes):
             return np.zeros(len(owner), bool)
-        at = np.minimum(np.searchsorted(hashes, window), len(hashes) - 1)
-        return (hashes[at] == window) & (owners[at] == owner)
+        at = place(hashes, content)
+        return (hashes[at] == content) & (owners[at] == owner)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(is_known(batch)))
             if not len(batch):
                 continue
-            # Windows that follow each other are one run.
-            owner, key, mark, start = (batch.column(c).to_numpy() for c in ("owner", *KEY, "start"))
+            key, mark, start, windows = (batch.column(c).to_numpy() for c in (*KEY, "start", "windows"))
             first = np.ones(len(batch), bool)
-            first[1:] = np.diff(start) != 1
-            for x in (owner, key, mark):
+            first[1:] = start[1:] != start[:-1] + windows[:-1]
+            for x in (key, mark):
                 first[1:] |= x[1:] != x[:-1]
             at = np.flatnonzero(first)
-            runs = np.diff(np.append(at, len(batch))).astype(np.int16)
+            runs = np.add.reduceat(windows.astype(np.int32), at, dtype=np.int32)
             yield pa.record_batch([key[at], mark[at], start[at], runs], names=[*KEY, "start", "windows"])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~is_known(batch)))
+            wanted = ~is_known(batch)
+            if only is not None:
+                owner = batch.column("owner").to_numpy()
+                wanted &= only[place(only, owner)] == owner
+            yield batch.filter(pa.array(wanted))
 
-    times = F.count("*").over(Window.partitionBy("owner", "window"))
-    rest = windows.mapInArrow(others, windows.schema).withColumn("times", times).filter("times > 1")
-    one_by_one = rest.select(*KEY, "start", F.lit(1).cast("short").alias("windows"))
-    return one_by_one.unionAll(windows.mapInArrow(told, one_by_one.schema))
+    times = F.count("*").over(Window.partitionBy("owner", "content"))
+    rest = rows.mapInArrow(others, rows.schema).withColumn("times", times).filter("times > 1")
+    rest = rest.select(*KEY, "start", F.col("windows").cast("int").alias("windows"))
+    return rest.unionAll(rows.mapInArrow(told, rest.schema))
 
 
 def marked_side_by_side(every: DataFrame) -> DataFrame:
@@ -253,17 +259,20 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 
     Rows of an owner meet in one task if they are HOT_SHARE of all at most, and its
     contexts are sorted in one if they have SHARD bytes at most. A hot owner's rows are
-    counted in the tasks, and look up their counts; frequent ones do so in a broadcast.
+    counted in the tasks; frequent contexts are told where they are, and only the others meet (``repeated_by_hash``).
     """
     every = stage(all_contexts(docs, length), "contexts")
     most = HOT_SHARE * every.count()
     # Bins and owners are 1 / HOT_SHARE rows at most.
     slot = F.col("owner").bitwiseAND(F.lit(BINS - 1).cast("long"))
     bins = every.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).filter(F.col("n") > most).select("slot")
+    # All four are of one row, the same one.
+    one = [F.first(c).alias(c) for c in (*KEY, "start", "windows")]
+    inside = every.join(F.broadcast(bins), slot == F.col("slot"), "left_semi")
+    counted = stage(inside.groupBy("owner", "content").agg(F.count("*").alias("n"), *one), "counted")
     owners = (
-        every.join(F.broadcast(bins), slot == F.col("slot"), "left_semi")
-        .groupBy("owner")
-        .agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
+        counted.groupBy("owner")
+        .agg(F.sum("n").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
         .filter(F.col("n") > most)
         .select("owner", (F.col("low") != F.col("high")).alias("various"))
     )
@@ -271,13 +280,9 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     where = ["owner", *KEY, "start", "windows"]
     twins = wanted = None
     if owners.head(1):
-        rows = every.join(F.broadcast(owners), "owner")
+        counts = stage(counted.join(F.broadcast(owners), "owner"), "counts")
+        twins = repeated_by_hash(every, counts, max(1, most), owners)
         every = every.join(F.broadcast(owners), "owner", "left_anti")
-        # All four are of one row, the same one.
-        one = [F.first(c).alias(c) for c in (*KEY, "start", "windows")]
-        counts = stage(rows.groupBy("owner", "content", "various").agg(F.count("*").alias("n"), *one), "counts")
-        on = {"owner": "owner", "content": "content"}
-        twins = attach(rows, counts, on, {"n": "times"}, "n").filter("times > 1").select(*KEY, "start", "windows")
         wanted = counts.filter("various").select(*where)
     marked = stage(marked_side_by_side(every).drop("content"), "marked")
     side_by_side = marked.filter("various and not same").select(*where)
@@ -292,7 +297,11 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     if twins is not None:
         runs = runs.unionAll(twins)
     if large.head(1):
-        runs = runs.unionAll(repeated_by_hash(pieces.filter("window is not null").drop("context")))
+        windows = pieces.filter("window is not null").select(
+            "owner", F.col("window").alias("content"), *KEY, "start", F.lit(1).cast("short").alias("windows")
+        )
+        counts = windows.groupBy("owner", "content").agg(F.count("*").alias("n"))
+        runs = runs.unionAll(repeated_by_hash(windows, counts, max(1, HOT_SHARE * windows.count())))
     return runs.groupBy(*KEY).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 

@@ -83,3 +83,20 @@ def test_owners_of_many_contexts_are_not_held_in_a_task(spark, monkeypatch):
         assert found == dict(zip(range(len(rows)), repeated(rows, 200), strict=True))
         assert held and max(held) <= most
         assert most == 3000 or max(held) > 3000
+
+
+def test_frequent_contexts_are_one_run_a_document(spark, monkeypatch):
+    """A passage that very many documents have gives each one row, not one a context, and is looked up in no join."""
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    some = lambda n: letters[rng.integers(0, len(letters), n)].tobytes().decode()
+    passage = some(900)
+    rows = [(k, some(100) + passage + some(100)) for k in range(60)] + [(60, some(400)), (61, passage + some(90) + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffix_dedup_module, "HOT_SHARE", 0.001)
+    spans = suffix_dedup_module.repeated_spans(docs)
+    contexts = suffix_dedup_module.all_contexts(docs, 200).groupBy("key").count().agg(F.min("count")).first()[0]
+    assert contexts <= 4 < 10 < suffix_dedup_module.all_contexts(docs, 200).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert spans.agg(F.max(F.size("spans"))).first()[0] <= 6
+    found = {r.doc_id: (r.n_bytes, bytes(r.kept), r.n_removed, r.n_spans) for r in suffix_dedup(docs).collect()}
+    assert found == dict(zip(range(len(rows)), repeated(rows, 200), strict=True))
