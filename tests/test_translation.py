@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from phrasemine.operators import translation
 from phrasemine.plans.mining import candidate_scores, mine_chunks, mine_translations
 from tests import brute
@@ -116,3 +118,34 @@ def test_negative_cells_are_not_clamped(spark, make_lines):
     rows = scored.collect()
     assert len(rows) == 5
     assert {(r.n11, r.n10, r.n01, r.n00, r.score) for r in rows} == {(1, -1, 0, 1, 20.0)}
+
+
+@pytest.mark.parametrize("many", [1 << 16, 20, 1])
+def test_candidates_are_not_moved(spark, make_lines, monkeypatch, many):
+    """Chunks of none, some, or all are dealt over several tasks; pairs are made and counted where the arrays came to."""
+    monkeypatch.setattr(translation, "MANY", many)
+    pairs = random_pairs(11)
+    kept = mine_chunks(make_lines(*random_corpus(12))).select("text", "type")
+    ranked = brute.candidates([(r.text, r.type) for r in kept.collect()], pairs)
+    bitext = translation.prepare_bitext(kept, spark.createDataFrame(pairs, "dst string, src string"))
+    parts = translation.joint_parts(bitext, named=True)
+    assert (parts[1] is None) == (many > 20)
+    scored = [None if p is None else translation.translation_scores(p, bitext.size) for p in parts]
+    found = {}
+    for text, code, _, key, score in listed(translation.rank_parts(*scored)):
+        found.setdefault((text, code), []).append((score, key))
+    assert {c: [key for _, key in rows] for c, rows in found.items()} == {c: [key for _, key in best] for c, best in ranked.items()}
+    names = ["text", "type", "dst_text", "dst_type", "n"]
+    alike = translation.name_chunks(translation.joint_counts(bitext), bitext).select(*names).collect()
+    assert sorted(map(tuple, translation.joint_counts(bitext, named=True).select(*names).collect())) == sorted(map(tuple, alike))
+    # From where the arrays are dealt to, nothing is shuffled: neither counting nor ranking adds an exchange.
+    ranks = translation.rank_parts(scored[0], None)
+    text = ranks.groupBy().agg(F.max("rank"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [chunk_id" in text
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = translation.rank_parts(translation.translation_scores(parts[0], bitext.size), None)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    above = plan[: plan.index("REPARTITION_BY_NUM")]
+    assert above.count("Exchange hashpartitioning") == 1
