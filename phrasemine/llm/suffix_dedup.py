@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phrasemine.llm.fetch import bitmap, slot
 from phrasemine.llm.shipping import ship
 from phrasemine.llm.suffixes import common_prefixes, suffix_array
 from phrasemine.llm.words import mix, powers, slices, utf8
@@ -195,8 +196,10 @@ def repeated_by_hash(rows: DataFrame, counts: DataFrame, most: float, among: Dat
 
     ``counts(owner, content, n)`` tell how often each comes. Those that come more than ``most`` times, HOT_SHARE of all rows,
     are 1 / HOT_SHARE at most: they are known to the tasks and told where they are, neighbours in a document as one run. Of all
-    others the equal ones meet, in groups of at most that share. With ``among(owner)``, as few, rows of other owners are left out.
+    others the equal ones meet, in groups of at most that share; a bitmap of the hashes that come again keeps most of those that
+    come once where they are. With ``among(owner)``, as few, rows of other owners are left out.
     """
+    again = bitmap(counts.filter(F.col("n") > 1).filter(F.col("n") <= most), "content")
     known = counts.filter(F.col("n") > most).select("owner", "content").orderBy("content").toArrow()
     owners, hashes = (known.column(c).to_numpy() for c in ("owner", "content"))
     only = None if among is None else among.select("owner").orderBy("owner").toArrow().column("owner").to_numpy()
@@ -227,14 +230,16 @@ def repeated_by_hash(rows: DataFrame, counts: DataFrame, most: float, among: Dat
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = ~is_known(batch)
+            at = batch.column("slot").to_numpy()
+            batch = batch.drop_columns(["slot"])
+            wanted = ((again[at >> 6] >> (at & 63)) & 1 == 1) & ~is_known(batch)
             if only is not None:
                 owner = batch.column("owner").to_numpy()
                 wanted &= only[place(only, owner)] == owner
             yield batch.filter(pa.array(wanted))
 
     times = F.count("*").over(Window.partitionBy("owner", "content"))
-    rest = rows.mapInArrow(others, rows.schema).withColumn("times", times).filter("times > 1")
+    rest = rows.withColumn("slot", slot("content")).mapInArrow(others, rows.schema).withColumn("times", times).filter("times > 1")
     rest = rest.select(*KEY, "start", F.col("windows").cast("int").alias("windows"))
     return rest.unionAll(rows.mapInArrow(told, rest.schema))
 
@@ -264,11 +269,11 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     every = stage(all_contexts(docs, length), "contexts")
     most = HOT_SHARE * every.count()
     # Bins and owners are 1 / HOT_SHARE rows at most.
-    slot = F.col("owner").bitwiseAND(F.lit(BINS - 1).cast("long"))
-    bins = every.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).filter(F.col("n") > most).select("slot")
+    own_bin = F.col("owner").bitwiseAND(F.lit(BINS - 1).cast("long"))
+    bins = every.groupBy(own_bin.alias("bin")).agg(F.count("*").alias("n")).filter(F.col("n") > most).select("bin")
     # All four are of one row, the same one.
     one = [F.first(c).alias(c) for c in (*KEY, "start", "windows")]
-    inside = every.join(F.broadcast(bins), slot == F.col("slot"), "left_semi")
+    inside = every.join(F.broadcast(bins), own_bin == F.col("bin"), "left_semi")
     counted = stage(inside.groupBy("owner", "content").agg(F.count("*").alias("n"), *one), "counted")
     owners = (
         counted.groupBy("owner")

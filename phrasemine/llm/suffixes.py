@@ -6,29 +6,26 @@ import numpy as np
 
 from phrasemine.llm.shipping import ship
 
-SMALL = 300  # alphabets up to this size are induced bucket by bucket with numpy
+SMALL = 300  # alphabets up to this size are induced, bucket by bucket; texts over larger ones, of names, are told apart by doubling
 
 
 def smaller(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next (type S); the last one is."""
-    n = len(t)
-    s = np.ones(n, bool)
-    if n > 1:
-        differ = np.flatnonzero(t[:-1] != t[1:])
+    s = np.ones(len(t), bool)
+    differ = np.flatnonzero(t[:-1] != t[1:])
+    if len(differ):
         less = t[differ] < t[differ + 1]
-        at = np.searchsorted(differ, np.arange(n - 1))
-        s[:-1] = np.append(less, True)[at]
+        s[: differ[-1] + 1] = np.repeat(less, np.diff(differ, prepend=-1))
     return s
 
 
 def induce(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, letters: int) -> np.ndarray:
-    """All suffixes in order, from the leftmost-smaller ones ``seeds`` in order."""
-    return (induce_small if letters <= SMALL else induce_large)(t, s, seeds, letters)
-
+    """All suffixes in order, from the leftmost-smaller ones ``seeds`` in order.
 
-def induce_small(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, letters: int) -> np.ndarray:
-    """For few letters: each bucket is passed on as a whole, in as many steps as its letter repeats."""
+    Each bucket is passed on as a whole, in as many steps as its letter repeats.
+    """
     n = len(t)
+    t = t.astype(np.uint16)  # numpy sorts these by digits
     size = np.bincount(t, minlength=letters)
     start = np.cumsum(size) - size
     end = start + size
@@ -43,16 +40,15 @@ def induce_small(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, letters: int)
         if not len(p):
             return
         first = t[p]
-        order = np.argsort(first, kind="stable")
-        p, first = p[order], first[order]
-        which, count = np.unique(first, return_counts=True)
-        inside = np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
+        p = p[np.argsort(first, kind="stable")]
+        count = np.bincount(first, minlength=letters)
+        done = np.cumsum(count) - count
         if large:
-            sa[fill[first] + inside] = p
-            fill[which] += count
+            sa[np.repeat(fill - done, count) + np.arange(len(p))] = p
+            fill[:] += count
         else:
-            sa[fill[first] - 1 - inside] = p
-            fill[which] -= count
+            sa[np.repeat(fill - 1 + done, count) - np.arange(len(p))] = p
+            fill[:] -= count
 
     for c in range(letters):
         done = start[c]
@@ -71,33 +67,31 @@ def induce_small(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, letters: int)
     return sa
 
 
-def induce_large(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, letters: int) -> np.ndarray:
-    """For many letters: one suffix after the other."""
-    n = len(t)
-    size = np.bincount(t, minlength=letters)
-    ends = np.cumsum(size)
-    sa = np.full(n, -1, np.int64)
-    # Seeds go to the ends of their buckets.
-    letter = t[seeds]
-    count = np.bincount(letter, minlength=letters)
-    inside = np.arange(len(seeds)) - np.repeat((np.cumsum(count) - count)[count > 0], count[count > 0])
-    sa[ends[letter] - count[letter] + inside] = seeds
-    sa, text, small = sa.tolist(), t.tolist(), s.tolist()
-    head = (ends - size).tolist()
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not small[j]:
-            c = text[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and small[j]:
-            c = text[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-    return np.array(sa, np.int64)
+def doubled(name: np.ndarray, names: int) -> np.ndarray:
+    """Order of all suffixes of a text of many names, whose last one occurs nowhere else.
+
+    A suffix has the first place of those that agree with it so far. Ones that share a place are told
+    apart by the places of the suffixes that begin where the agreement ends, which doubles it.
+    """
+    n = len(name)
+    size = np.bincount(name, minlength=names)
+    place = (np.cumsum(size) - size)[name]
+    alive, k = np.flatnonzero(size[name] > 1), 1
+    while len(alive):
+        key = place[alive] * n + place[alive + k]
+        order = np.argsort(key)
+        alive, key = alive[order], key[order]
+        old = place[alive]
+        first = np.append(True, key[1:] != key[:-1])
+        group = np.append(True, old[1:] != old[:-1])
+        at = np.arange(len(alive))
+        own = np.maximum.accumulate(np.where(first, at, 0))
+        place[alive] = old + own - np.maximum.accumulate(np.where(group, at, 0))
+        alive = alive[~(first & np.append(first[1:], True))]
+        k *= 2
+    order = np.empty(n, np.int64)
+    order[place] = np.arange(n)
+    return order
 
 
 def suffix_array(t: np.ndarray, letters: int) -> np.ndarray:
@@ -105,6 +99,8 @@ def suffix_array(t: np.ndarray, letters: int) -> np.ndarray:
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
+    if letters > SMALL:
+        return doubled(t, letters)
     s = smaller(t)
     leftmost = np.zeros(n, bool)
     leftmost[1:] = s[1:] & ~s[:-1]

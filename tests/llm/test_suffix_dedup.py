@@ -100,3 +100,34 @@ def test_frequent_contexts_are_one_run_a_document(spark, monkeypatch):
     assert spans.agg(F.max(F.size("spans"))).first()[0] <= 6
     found = {r.doc_id: (r.n_bytes, bytes(r.kept), r.n_removed, r.n_spans) for r in suffix_dedup(docs).collect()}
     assert found == dict(zip(range(len(rows)), repeated(rows, 200), strict=True))
+
+
+def test_hashes_that_come_once_stay_in_their_task(spark):
+    """Of the rows that are not frequent, only those whose hash comes again meet."""
+    rows = [(1, k, k, 0, 0, 1) for k in range(2000)] + [(1, k, 5000 + k, 0, 0, 1) for k in range(7)]
+    rows += [(2, 9000, 6000 + k, 0, 0, 3) for k in range(50)]
+    rows = spark.createDataFrame(rows, "owner long, content long, key long, mark int, start int, windows short").repartition(3)
+    counts = rows.groupBy("owner", "content").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = suffix_dedup_module.repeated_by_hash(rows, counts, 20)
+        runs = sorted((r.key, r.windows) for r in found.collect())
+        made, left = [], [found._jdf.queryExecution().executedPlan()]
+        while left:
+            node = left.pop()
+            children = node.children()
+            left += [children.apply(k) for k in range(children.size())]
+            if node.nodeName() == "MapInArrow":
+                made.append(node.metrics().apply("pythonNumRowsReceived").value())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert runs == [(k, 1) for k in range(7)] + [(5000 + k, 1) for k in range(7)] + [(6000 + k, 3) for k in range(50)]
+    assert max(made) < 100
+
+
+def test_names_of_long_repeats_are_sorted_by_doubling():
+    rng = np.random.default_rng(2)
+    some = rng.integers(1, 900, 400)
+    t = np.concatenate([some, some, some[:150], rng.integers(1, 900, 100), some, [0]])
+    expected = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert suffixes.doubled(t, 900).tolist() == expected == suffix_array(t, 900).tolist()
