@@ -259,6 +259,15 @@ def marked_side_by_side(every: DataFrame) -> DataFrame:
     )
 
 
+def in_bins(column: str, bins: list[int]) -> Column:
+    """Whether the low bits of a number are one of ``bins``, by one flag for each of the BINS."""
+    words = [0] * (BINS // 64)
+    for k in bins:
+        words[k >> 6] |= 1 << (k & 63)
+    flags = ", ".join(f"{w - (w >> 63 << 64)}L" for w in words)
+    return F.expr(f"getbit(array({flags})[cast({column} & {BINS - 1} as int) div 64], cast({column} & 63 as int)) = 1")
+
+
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """``(key, mark, spans)``: for documents with repeated windows, runs ``(start, windows)`` of their starts.
 
@@ -270,10 +279,10 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     most = HOT_SHARE * every.count()
     # Bins and owners are 1 / HOT_SHARE rows at most.
     own_bin = F.col("owner").bitwiseAND(F.lit(BINS - 1).cast("long"))
-    bins = every.groupBy(own_bin.alias("bin")).agg(F.count("*").alias("n")).filter(F.col("n") > most).select("bin")
+    bins = every.groupBy(own_bin.alias("bin")).agg(F.count("*").alias("n")).filter(F.col("n") > most).collect()
     # All four are of one row, the same one.
     one = [F.first(c).alias(c) for c in (*KEY, "start", "windows")]
-    inside = every.join(F.broadcast(bins), own_bin == F.col("bin"), "left_semi")
+    inside = every.filter(in_bins("owner", [row["bin"] for row in bins]))
     counted = stage(inside.groupBy("owner", "content").agg(F.count("*").alias("n"), *one), "counted")
     owners = (
         counted.groupBy("owner")

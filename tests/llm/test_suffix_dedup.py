@@ -125,6 +125,25 @@ def test_hashes_that_come_once_stay_in_their_task(spark):
     assert max(made) < 100
 
 
+def test_bins_are_told_by_flags_and_not_joined(spark, monkeypatch):
+    bins = [0, 63, 64, 4095, suffix_dedup_module.BINS - 1]
+    numbers = spark.range(-3 * suffix_dedup_module.BINS, 2 * suffix_dedup_module.BINS, 1)
+    found = numbers.filter(suffix_dedup_module.in_bins("id", bins)).agg(F.sort_array(F.collect_list("id"))).first()[0]
+    assert found == sorted(k * suffix_dedup_module.BINS + b for k in range(-3, 2) for b in bins)
+    assert numbers.filter(suffix_dedup_module.in_bins("id", [])).isEmpty()
+    plans = {}
+
+    def watched(df, name, inner=suffix_dedup_module.stage):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return inner(df, name)
+
+    monkeypatch.setattr(suffix_dedup_module, "stage", watched)
+    line = "a line that comes back " * 12
+    docs = spark.createDataFrame([(k, f"{line} and {k}") for k in range(20)], "doc_id long, text string")
+    assert suffix_dedup(docs).filter("n_removed > 0").count() == 20
+    assert "Join" not in plans["counted"]
+
+
 def test_names_of_long_repeats_are_sorted_by_doubling():
     rng = np.random.default_rng(2)
     some = rng.integers(1, 900, 400)
