@@ -1,6 +1,7 @@
 """Chunks counted from shuffled windows: what is moved, and that frequent first words change no count."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from phrasemine.functions.text import pieces
 from phrasemine.operators import chunks as chunk_ops
 from phrasemine.operators.groups import multi_type_chunks
-from phrasemine.operators.scoring import contingency
+from phrasemine.operators.scoring import contingency, pair_contingency
 from phrasemine.shapes import all_shapes, chunk_shapes
 from tests import brute
 
@@ -78,3 +79,24 @@ def test_rows_of_texts_with_several_types(spark):
     found = {tuple(r) for r in multi_type_chunks(counts).select("text", "type", "n").collect()}
     assert found == {("a b", 200, 3), ("a b", 210, 1)}
     assert len(all_shapes(2, 1)) == 3
+
+
+@pytest.mark.parametrize("words", [2, 3])
+def test_tasks_that_count_grow_with_the_words(spark, make_lines, monkeypatch, words):
+    """A task's share of the windows is bounded, whatever the session's number of shuffle partitions."""
+    lines = make_lines(*[" ".join(f"w{(k * j) % 37}" for j in range(12)) for k in range(400)])
+    expected = sorted(map(tuple, chunk_ops.count_shapes(lines, chunk_shapes(words, 1)).collect()))
+    scored = sorted(map(tuple, pair_contingency(lines).collect()))
+    parts = []
+
+    def watched(*args, inner=chunk_ops.cut_windows, **options):
+        cut = inner(*args, **options)
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        parts.append(int(re.search(r"(\d+)\), REPARTITION_BY_NUM", plan)[1]))
+        return cut
+
+    monkeypatch.setattr(chunk_ops, "cut_windows", watched)
+    monkeypatch.setattr(chunk_ops, "A_TASK", 500)
+    assert sorted(map(tuple, chunk_ops.count_shapes(lines, chunk_shapes(words, 1)).collect())) == expected
+    assert sorted(map(tuple, pair_contingency(lines).collect())) == scored
+    assert len(parts) == 2 and min(parts) >= 10
