@@ -2,14 +2,17 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from phrasemine.functions.text import pieces
 from phrasemine.operators import chunks as chunk_ops
+from phrasemine.operators import scoring
 from phrasemine.operators.groups import multi_type_chunks
 from phrasemine.operators.scoring import contingency, pair_contingency
+from phrasemine.plans import mining
 from phrasemine.shapes import all_shapes, chunk_shapes
 from tests import brute
 
@@ -100,3 +103,43 @@ def test_tasks_that_count_grow_with_the_words(spark, make_lines, monkeypatch, wo
     assert sorted(map(tuple, chunk_ops.count_shapes(lines, chunk_shapes(words, 1)).collect())) == expected
     assert sorted(map(tuple, pair_contingency(lines).collect())) == scored
     assert len(parts) == 2 and min(parts) >= 10
+
+
+def chunk_rows(df):
+    cells = ("text", "type", "n11", "n10", "n01", "n00")
+    return sorted(tuple(r[c] for c in cells) for r in df.collect())
+
+
+@pytest.mark.parametrize("max_words, max_gap, many", [(4, 4, 1e-3), (4, 4, 0.05), (4, 4, 0.9), (3, 2, 0.2), (4, 0, 0.2), (2, 4, 0.2)])
+def test_halves_counted_at_positions_give_the_same_cells(spark, make_lines, monkeypatch, max_words, max_gap, many):
+    monkeypatch.setattr(scoring, "BEGINS_MANY", many)
+    rng = random.Random(5)
+    words = ["the", "the", "the", "a", "b", "1", ",", "@"]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randrange(14))) for _ in range(40)]
+    lines = make_lines(*lines, "", "  ", "a  b", "alone")
+    counts = chunk_ops.stage_counts(lines, max_words, max_gap)
+    expected = contingency(counts, chunk_ops.line_total(counts), max_words)
+    found, _ = scoring.window_contingency(lines, max_words, max_gap)
+    assert chunk_rows(found) == chunk_rows(expected) != []
+    several, _ = scoring.window_contingency(lines, max_words, max_gap, several=True)
+    types = Counter(r.text for r in expected.collect())
+    assert chunk_rows(several) == chunk_rows(expected.filter(F.col("text").isin([t for t in types if types[t] > 1])))
+    often, _ = scoring.window_contingency(lines, max_words, max_gap, single_occurrences=False)
+    single = expected.join(counts.filter("n = 1").select("text", "type"), ["text", "type"], "left_anti")
+    assert chunk_rows(often) == chunk_rows(single)
+
+
+@pytest.mark.parametrize("job", ["scores", "groups"])
+def test_chunks_of_more_words_are_not_moved_once_cut(spark, make_lines, job):
+    """Before, each chunk moved for either half, and for its types and its group."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = make_lines("a b c a b d e f", "b c", "a x b c a x c")
+        df = mining.score_corpus(lines, 4, 4) if job == "scores" else mining.mine_groups(lines, 4, 4)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    cut = re.search(r"Generate inline\(array\((struct|if|CASE|named_struct).*__left", plan)
+    assert cut and "Exchange hashpartitioning" not in plan[: cut.start()]
