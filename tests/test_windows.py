@@ -13,6 +13,7 @@ from phrasemine.operators import scoring
 from phrasemine.operators.groups import multi_type_chunks
 from phrasemine.operators.scoring import contingency, pair_contingency
 from phrasemine.plans import mining
+from phrasemine.plans.stage import stage
 from phrasemine.shapes import all_shapes, chunk_shapes
 from tests import brute
 
@@ -143,3 +144,26 @@ def test_chunks_of_more_words_are_not_moved_once_cut(spark, make_lines, job):
         spark.conf.unset("spark.sql.adaptive.enabled")
     cut = re.search(r"Generate inline\(array\((struct|if|CASE|named_struct).*__left", plan)
     assert cut and "Exchange hashpartitioning" not in plan[: cut.start()]
+
+
+@pytest.mark.parametrize("max_gap", [0, 1, 4])
+def test_tables_of_texts_are_summed_in_their_row(spark, make_lines, monkeypatch, max_gap):
+    """Before, all texts were staged with their tables and moved to be summed."""
+    monkeypatch.setattr(chunk_ops, "COMMON_SHARE", 0.1)
+    rng = random.Random(11)
+    words = ["the", "the", "the", "a", "b", "1", ",", "@", *"cdefgh"]
+    lines = make_lines(*[" ".join(rng.choice(words) for _ in range(rng.randrange(14))) for _ in range(40)], "", " ")
+    cells = ("n11", "n10", "n01", "n00")
+    expected, texts = set(), {}
+    for r in pair_contingency(lines, max_gap).collect():
+        table = tuple(r[c] for c in cells)
+        expected.add(table)
+        texts.setdefault(r.text, []).append(table)
+    expected |= {tuple(map(sum, zip(*tables))) for tables in texts.values()}
+    staged = []
+    monkeypatch.setattr(scoring, "stage", lambda df, *a, **k: staged.append(df) or stage(df, *a, **k))
+    found = {tuple(r[c] for c in cells) for r in scoring.pair_tables(lines, max_gap).collect()}
+    assert found == expected and (max_gap == 0 or any(len(t) > 1 for t in texts.values()))
+    (pairs,) = staged
+    assert {" " in (r.text or "") for r in pairs.collect()} == {False}
+    assert 0 < pairs.filter("text is null").count() < pairs.count()
