@@ -167,3 +167,20 @@ def test_tables_of_texts_are_summed_in_their_row(spark, make_lines, monkeypatch,
     (pairs,) = staged
     assert {" " in (r.text or "") for r in pairs.collect()} == {False}
     assert 0 < pairs.filter("text is null").count() < pairs.count()
+
+
+@pytest.mark.parametrize("copies", [None, "copies"])
+def test_pairs_with_frequent_words_are_combined_before_the_shuffle(spark, monkeypatch, copies):
+    """Before, each occurrence of theirs was a shuffled row, and those of two shapes or more several."""
+    monkeypatch.setattr(chunk_ops, "LOOKED_AT", 1.0)
+    monkeypatch.setattr(chunk_ops, "BEGINS_MANY", 0.2)
+    rows = [("the a the b the a", 2), ("the a the a", 1), ("c the", 1), ("", 1), (None, 3)] * 3
+    lines = spark.createDataFrame(rows, "line string, copies long").coalesce(1)
+    counted = chunk_ops.count_shapes(lines, chunk_shapes(2, 2), copies=copies)
+    expected = Counter()
+    for line, n in rows:
+        for key, many in brute.counts([line or ""], 2, 2).items():
+            expected[key] += many * (n if copies else 1) * (key[1] > 0)
+    assert {(r.text, r.type): r.n for r in counted.collect()} == dict(+expected)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(text[^\n]*\n[^\n]*partial_", plan)
